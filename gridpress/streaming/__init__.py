@@ -1,0 +1,5 @@
+"""Intentionally empty: every ingest is a bounded batch job.
+
+There is no watermark, window or stateful operator among the supported
+features, so no streaming query is defined here.
+"""
