@@ -1,4 +1,9 @@
-"""Number text: locale-aware parsing, plain decimal text, decimal places."""
+"""Number text: locale-aware parsing, plain decimal text, decimal places.
+
+An amount is read by one regular expression that rewrites a recognised text
+as ``sign, integer part, MARK, fraction, tail``. A text it does not know is
+left as it is, so the presence of the mark tells the two apart.
+"""
 
 from __future__ import annotations
 
@@ -10,69 +15,72 @@ from gridpress.functions.text import SPACE_RUN
 # Currency signs that may lead an amount.
 CURRENCY = "[$€£¥]"
 
-# Shapes of the digits-and-separators body, most specific first.
-_PLAIN = "^[0-9]+$"
-_GROUPED = "^[0-9]{1,3}([.,][0-9]{3}){2,}$"
-_GROUPED_DECIMAL = "^[0-9]{1,3}([.,][0-9]{3})+[.,][0-9]{1,2}$"
-_COMMA_THOUSANDS = "^[0-9]+,[0-9]{3}$"
-_COMMA_DECIMAL = "^[0-9]*,[0-9]{1,2}$"
-_POINT_AMBIGUOUS = r"^[0-9]+\.[0-9]{3}$"
-_ONE_POINT = r"^[0-9]*\.[0-9]*$"
-
-
-def signed_body(text: Column) -> Column:
-    """Amount text without spaces, currency sign or parentheses: ``[-+]body``."""
-    bare = F.regexp_replace(F.regexp_replace(text, SPACE_RUN, ""), f"^{CURRENCY}", "")
-    return F.regexp_replace(bare, r"^\((.*)\)$", "-$1")
-
-
-def unsigned(signed: Column) -> Column:
-    return F.regexp_replace(signed, "^[-+]", "")
+MARK = "\u0001"
 
+# How digits and separators read, in this order: plain digits; three or more
+# groups of thousands; groups of thousands with a one or two digit fraction;
+# a comma before three digits (thousands); a comma before one or two digits
+# (fraction); a point, unless exactly three digits follow other digits.
+_BODY = (
+    r"(?:([0-9]+)"
+    r"|([0-9]{1,3}(?:[.,][0-9]{3}){2,})"
+    r"|([0-9]{1,3}(?:[.,][0-9]{3})+)[.,]([0-9]{1,2})"
+    r"|([0-9]+,[0-9]{3})"
+    r"|([0-9]*),([0-9]{1,2})"
+    r"|(?![0-9]+\.[0-9]{3}(?:[^0-9]|$))([0-9]*)\.([0-9]*))"
+)
+_NO_STRAY_PARENTHESIS = rf"(?=[^()]*$|{CURRENCY}? ?\([^()]*\)%?$)"
+_WIDE = rf"^{_NO_STRAY_PARENTHESIS}(?:{CURRENCY} ?)?([-+(])? ?{_BODY}\)?(%?)$"
+_STRICT = rf"^()?{_BODY}(%?)$"
+_REWRITTEN = f"$1$2$3$4$6$7$9{MARK}$5$8$10$11"
 
-def decimal_text(body: Column) -> Column:
-    """Canonical ``123.45`` text of a digits-and-separators body, or null."""
-    digits = F.translate(body, ".,", "")
-    # Mark the last separator, drop the others, then turn the mark into a point.
-    marked = F.translate(F.regexp_replace(body, "[.,]([0-9]{1,2})$", "#$1"), "#.,", ".")
-    return (
-        F.when(body.rlike(_PLAIN), body)
-        .when(body.rlike(_POINT_AMBIGUOUS), F.lit(None))
-        .when(body.rlike(_ONE_POINT), body)
-        .when(body.rlike(_COMMA_THOUSANDS) | body.rlike(_GROUPED), digits)
-        .when(body.rlike(_COMMA_DECIMAL) | body.rlike(_GROUPED_DECIMAL), marked)
-    )
+# Texts that look like an amount; unread ones among them are ambiguous.
+_WIDE_SHAPE = rf"^(?:{CURRENCY} ?)?(?:\([0-9.,]+\)|[-+]? ?[0-9.,]+)%?$"
+_STRICT_SHAPE = "^[0-9.,]+%?$"
 
 
-def is_number_body(body: Column) -> Column:
-    return body.rlike("^[0-9.,]+$")
+def marked_amount(text: Column, strict_gate: bool = False) -> Column:
+    """Rewrite an amount with its decimal place marked; other text unchanged."""
+    return F.regexp_replace(text, _STRICT if strict_gate else _WIDE, _REWRITTEN)
 
 
-def finite_double(text: Column) -> Column:
-    value = text.try_cast("double")
-    return F.when(F.abs(value) < F.lit(float("inf")), value)
+def amount_value(marked: Column) -> Column:
+    """Double of a marked amount, or null. A trailing percent sign divides by 100."""
+    digits = F.when(marked.contains(MARK), F.translate(marked, MARK + ".,()-+%", "."))
+    size = digits.try_cast("double")
+    finite = F.when(size < F.lit(float("inf")), size)
+    scaled = F.when(marked.endswith("%"), finite / 100).otherwise(finite)
+    return F.when(marked.rlike("^[-(]"), F.lit(0.0) - scaled).otherwise(scaled)
 
 
-def number_value(signed: Column, canonical: Column) -> Column:
-    """Value of a canonical text under the sign of ``signed``."""
-    value = finite_double(canonical)
-    return F.when(signed.startswith("-"), F.lit(0.0) - value).otherwise(value)
+def amount_ambiguous(text: Column, marked: Column, strict_gate: bool = False) -> Column:
+    """True for an amount-like text that admits two readings, or none."""
+    shape = _STRICT_SHAPE if strict_gate else _WIDE_SHAPE
+    return F.coalesce(~marked.contains(MARK) & text.rlike(shape), F.lit(False))
 
 
 def parse_number(text: Column) -> Column:
-    """``struct(value double, ambiguous boolean)`` of an amount text."""
-    signed = signed_body(text)
-    body = unsigned(signed)
-    canonical = decimal_text(body)
+    """``struct(value double, ambiguous boolean)`` of a bare amount text.
+
+    White space is dropped wherever it stands; a percent sign is not read.
+    """
+    bare = F.regexp_replace(text, SPACE_RUN, "")
+    plain = F.when(~bare.endswith("%"), bare)
+    marked = marked_amount(plain)
     return F.struct(
-        number_value(signed, canonical).alias("value"),
-        F.coalesce(is_number_body(body) & canonical.isNull(), F.lit(False)).alias("ambiguous"),
+        amount_value(marked).alias("value"), amount_ambiguous(plain, marked).alias("ambiguous")
     )
 
 
 def number_text(c: Column) -> Column:
     """Shortest plain decimal text: ``100`` rather than ``100.0`` or ``1.0E2``."""
-    return F.call_function("format_number", c.cast("double"), F.lit("0.#################"))
+    v = c.cast("double")
+    size = F.abs(v)
+    return (
+        F.when((v == F.floor(v)) & (size < 1e15), v.try_cast("bigint").cast("string"))
+        .when((size >= 1e-3) & (size < 1e7), v.cast("string"))
+        .otherwise(F.call_function("format_number", v, F.lit("0.#################")))
+    )
 
 
 def decimal_places(c: Column) -> Column:
