@@ -23,7 +23,7 @@ from workloads.base import Registry, Tables
 
 R = Registry()
 
-PRICE = F.col("l_extendedprice")
+PRICE = "l_extendedprice"
 
 
 def es_ar(value: C, scale: int = 2) -> C:
@@ -34,13 +34,13 @@ def es_ar(value: C, scale: int = 2) -> C:
 def amount_texts() -> C:
     n = F.col("l_linenumber")
     return (
-        F.when(n == 1, es_ar(PRICE))
-        .when(n == 2, F.format_number(PRICE, 2))
-        .when(n == 3, F.concat(F.lit("$ "), es_ar(PRICE)))
-        .when(n == 4, F.concat(F.lit("("), es_ar(PRICE), F.lit(")")))
-        .when(n == 5, F.concat(F.lit(" -"), N.number_text(PRICE)))
-        .when(n == 6, es_ar(F.floor(PRICE), 0))
-        .otherwise(F.concat(N.number_text(PRICE), F.lit("x")))
+        F.when(n == 1, es_ar(F.col(PRICE)))
+        .when(n == 2, F.format_number(F.col(PRICE), 2))
+        .when(n == 3, F.concat(F.lit("$ "), es_ar(F.col(PRICE))))
+        .when(n == 4, F.concat(F.lit("("), es_ar(F.col(PRICE)), F.lit(")")))
+        .when(n == 5, F.concat(F.lit(" -"), N.number_text(F.col(PRICE))))
+        .when(n == 6, es_ar(F.floor(F.col(PRICE)), 0))
+        .otherwise(F.concat(N.number_text(F.col(PRICE)), F.lit("x")))
     )
 
 
@@ -105,12 +105,12 @@ def iso_dates(t: Tables) -> DataFrame:
 def cell_texts() -> C:
     n = F.col("l_linenumber")
     return (
-        F.when(n == 1, es_ar(PRICE))
+        F.when(n == 1, es_ar(F.col(PRICE)))
         .when(n == 2, F.date_format("l_shipdate", "yyyy-MM-dd"))
         .when(n == 3, F.when(F.col("l_returnflag") == "N", F.lit("no")).otherwise(F.lit(" SI ")))
         .when(n == 4, F.lit(" Sin   dato "))
         .when(n == 5, F.concat(F.lit("  lote   "), F.col("l_returnflag"), F.lit("\t"), F.col("l_linestatus")))
-        .when(n == 6, es_ar(F.floor(PRICE), 0))
+        .when(n == 6, es_ar(F.floor(F.col(PRICE)), 0))
         .otherwise(F.concat(es_ar(F.col("l_quantity"), 0), F.lit("%")))
     )
 
@@ -193,7 +193,7 @@ def raw_table(t: Tables) -> DataFrame:
     )
     cells = F.array(
         F.col("l_linenumber").cast("string"),
-        es_ar(PRICE),
+        es_ar(F.col(PRICE)),
         F.concat(es_ar(F.col("l_discount") * 100, 0), F.lit("%")),
         F.date_format("l_shipdate", "yyyy-MM-dd"),
         F.when(F.col("l_returnflag") == "R", F.lit("-")).when(F.col("l_returnflag") == "A", F.lit("Sí")).otherwise("No"),
@@ -255,7 +255,7 @@ def column_warnings(t: Tables) -> DataFrame:
 FROM lineitem WHERE l_extendedprice >= 1000 AND l_extendedprice < 1000000""")
 def cell_warnings(t: Tables) -> DataFrame:
     rows = t.lineitem.select(
-        (F.col("l_orderkey") * 8 + F.col("l_linenumber")).alias(ROW), es_ar(F.floor(PRICE), 0).alias("m")
+        (F.col("l_orderkey") * 8 + F.col("l_linenumber")).alias(ROW), es_ar(F.floor(F.col(PRICE)), 0).alias("m")
     )
     out = normalize_table(rows, ["Monto"], [F.col("m")])
     return out.warnings.where("kind = 'ambiguous-number'").select(ROW, "col_pos", "detail")

@@ -171,9 +171,7 @@ UNION ALL SELECT doc_id, page, 1, 200 - 5 * lq, 200 FROM p
 UNION ALL SELECT doc_id, page, 2, 330 - 5 * lp, 330 FROM p
 UNION ALL SELECT doc_id, page, 3, 430 - 5 * ld, 430 FROM p WHERE nd > 0""")
 def detected_bands(t: Tables) -> DataFrame:
-    lined = _lined(t)
-    lines = P.line_summary(lined)
-    return P.column_bands(lined, lines.where("numeric and not prose"))
+    return P.column_bands(_lined(t))
 
 
 @R.add(f"""WITH {ROWS_SQL}
@@ -234,7 +232,7 @@ def prose_rejects(t: Tables) -> DataFrame:
 
 @R.add(f"""WITH {ROWS_SQL}, d AS (SELECT doc_id, page, max(length(replace(rtrim(disc, '%'), ' ', ''))) AS k,
   bool_or(disc IS NULL) AS missing,
-  max(CASE WHEN CAST(rtrim(disc, '%') AS INT) % 10 = 0 THEN 1 ELSE 2 END) AS ds,
+  max(CASE WHEN disc IS NULL OR CAST(rtrim(disc, '%') AS INT) % 10 = 0 THEN 1 ELSE 2 END) AS ds,
   max(CASE WHEN l_extendedprice = floor(l_extendedprice) THEN 0 ELSE length(split_part(CAST(l_extendedprice AS VARCHAR), '.', 2)) END) AS ps
   FROM r GROUP BY ALL)
 SELECT doc_id, page, 0 AS pos, 'string' AS type, false AS nullable, CAST(NULL AS INT) AS decimal_scale, false AS percent FROM p
