@@ -19,8 +19,8 @@ def key_positions(df: DataFrame, keys: C, row: str = ROW) -> DataFrame:
     ``keys`` is an ``array<string>``. Partial aggregation leaves one record
     per key and task before the shuffle, so common keys are never hot.
     """
-    exploded = df.select(F.col(row).alias("_r"), F.posexplode(keys).alias("_p", "key"))
-    return exploded.groupBy("key").agg(F.min(F.struct("_r", "_p")).alias("first"))
+    exploded = df.select(F.col(row).alias("_r"), F.posexplode_outer(keys).alias("_p", "key"))
+    return exploded.where("key IS NOT NULL").groupBy("key").agg(F.min(F.struct("_r", "_p")).alias("first"))
 
 
 def header_union(df: DataFrame, keys: C, row: str = ROW) -> list[str]:
