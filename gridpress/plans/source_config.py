@@ -57,7 +57,7 @@ def config_checks(sources: DataFrame) -> DataFrame:
     )
     address = text("url")
     error = (
-        F.when(~F.coalesce(V.is_object(F.col("_v")) & shape, F.lit(False)), F.lit("CONFIG_SHAPE"))
+        F.when(~F.coalesce((V.kind(F.col("_v")) == "object") & shape, F.lit(False)), F.lit("CONFIG_SHAPE"))
         .when((kind == "manual") & is_blank(text("payload")), F.lit("PAYLOAD_EMPTY"))
         .when((kind != "manual") & ~is_http_url(address), F.lit("URL_INVALID"))
     )
