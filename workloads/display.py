@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from gridpress.functions import display as V
 from gridpress.model import Column
-from workloads.base import Registry, Tables
+from workloads.base import Registry, Tables, spread
 
 R = Registry()
 
@@ -20,7 +20,7 @@ SELECT l_orderkey, l_linenumber, translate(format('{:,.2f}', l_extendedprice), '
 FROM x""")
 def render_numbers(t: Tables) -> DataFrame:
     price = F.col("l_extendedprice")
-    return t.lineitem.select(
+    return spread(t.lineitem).select(
         "l_orderkey",
         "l_linenumber",
         V.number_display(price).alias("scale_2"),

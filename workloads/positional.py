@@ -17,6 +17,7 @@ from gridpress.operators import positional as P
 from gridpress.operators.intervals import gap_threshold, merge_intervals, merge_runs, run_gaps
 from gridpress.operators.normalize import bulk_cells
 from gridpress.operators.profile import profile_tables
+from gridpress.session import stage
 from workloads.base import Registry, Tables
 from workloads.cells import es_ar
 
@@ -26,6 +27,11 @@ PAGES_PER_DOC = 50
 
 
 def fragments(t: Tables) -> DataFrame:
+    """The printed fragments as a table of their own, as extraction finds them."""
+    return stage(printed_fragments(t), "fragments")
+
+
+def printed_fragments(t: Tables) -> DataFrame:
     order = W.partitionBy("l_orderkey").orderBy(
         "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "l_quantity", "l_discount"
     )

@@ -13,7 +13,7 @@ from gridpress.plans.catalog import latest_published
 from gridpress.plans.source_config import config_checks
 from gridpress.sources import jsonrows as J
 from gridpress.sources.landing import dispatch, size_guard
-from workloads.base import Registry, Tables
+from workloads.base import Registry, Tables, spread
 from workloads.catalog import CTE, columns, datasets
 
 R = Registry()
@@ -29,7 +29,7 @@ def payloads(t: Tables) -> DataFrame:
     # An object with an array member would be a wrapper, so this one has none.
     single = RECORD.replace("'tags', array(o_orderstatus, o_orderpriority), ", "").replace("\n  ", " ")
     pair = f"'[', to_json({RECORD}), ',{{\"id\":', o_orderkey + 1, ',\"total\":null}}]'"
-    return t.orders.selectExpr(
+    return spread(t.orders).selectExpr(
         "o_orderkey AS payload_id",
         f"""CASE o_orderstatus WHEN 'O' THEN to_json({single}) WHEN 'F' THEN concat(' ', {pair})
         ELSE concat('{{"nota":"[x","items":', {pair}, '}}') END AS payload""",
@@ -70,7 +70,7 @@ def json_payload_status(t: Tables) -> DataFrame:
 
 
 def path_payloads(t: Tables) -> DataFrame:
-    return t.orders.selectExpr(
+    return spread(t.orders).selectExpr(
         "o_orderkey AS payload_id",
         f"""CASE o_orderpriority WHEN '1-URGENT' THEN concat('{{"data":[{{"rows":[', to_json({RECORD}), ',7]}}]}}')
         WHEN '2-HIGH' THEN '{{"data":[]}}' WHEN '3-MEDIUM' THEN '{{"data":[{{"rows":{{"a":1}}}}]}}'
@@ -94,7 +94,7 @@ def json_path_rows(t: Tables) -> DataFrame:
 
 @R.add("""SELECT event_id, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k, 'number' AS kind FROM events""")
 def json_flatten(t: Tables) -> DataFrame:
-    parsed = J.parse_payloads(t.events.select("event_id", F.col("props").alias("payload")))
+    parsed = J.parse_payloads(spread(t.events).select("event_id", F.col("props").alias("payload")))
     rows = J.flatten_rows(J.explode_rows(J.locate_rows(parsed), ["event_id"]))
     cell = F.col("cells")[0]
     return rows.select("event_id", cell["text"].try_cast("bigint").alias("k"), cell["kind"].alias("kind"))
