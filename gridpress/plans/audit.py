@@ -45,7 +45,7 @@ def served_definitions(resolved: DataFrame, columns: DataFrame) -> DataFrame:
 
 
 def _parts(text: C) -> C:
-    return F.filter(F.transform(F.split(text, ","), F.trim), lambda p: p != "")
+    return F.filter(F.transform(F.split(text, ","), lambda p: F.trim(p)), lambda p: p != "")
 
 
 def _literal_ok(text: C, kind: C) -> C:
