@@ -13,11 +13,23 @@ from gridpress.session import stage
 def group_offsets(sizes: DataFrame, order: list[str], size: str) -> DataFrame:
     """Add ``_offset``: rows in all groups that come before.
 
-    ``sizes`` has one record per file split or payload, never per row, so a
-    window over the whole of it stays small beside the data it describes.
+    ``sizes`` has one record per file split or payload. Those are cut into
+    ranges of the order; each range is summed by its own task, and only the
+    totals of the ranges (one per shuffle partition) meet in one place.
     """
-    before = W.orderBy(*order).rowsBetween(W.unboundedPreceding, -1)
-    return sizes.withColumn("_offset", F.coalesce(F.sum(size).over(before), F.lit(0)))
+    ranged = sizes.repartitionByRange(*order).withColumn("_range", F.spark_partition_id())
+    # Written first: range numbers must be the same for totals and records.
+    copy = stage(ranged, "sizes")
+    before = lambda w: w.rowsBetween(W.unboundedPreceding, -1)
+    totals = copy.groupBy("_range").agg(F.sum(size).alias("_total"))
+    base = totals.select(
+        "_range", F.coalesce(F.sum("_total").over(before(W.orderBy("_range"))), F.lit(0)).alias("_base")
+    )
+    inside = F.coalesce(F.sum(size).over(before(W.partitionBy("_range").orderBy(*order))), F.lit(0))
+    local = copy.withColumn("_inside", inside)
+    return local.join(base, "_range").select(
+        *sizes.columns, (F.col("_base") + F.col("_inside")).alias("_offset")
+    )
 
 
 def with_row_position(scan: DataFrame) -> DataFrame:
