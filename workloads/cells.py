@@ -179,7 +179,7 @@ def slug_texts(t: Tables) -> DataFrame:
 
 # --- whole-table normalisation ---------------------------------------------
 
-HEADERS = ["Nº Línea", "Importe ($)", "Alícuota %", "Vigencia", "Activo", "Nota", "Nota"]
+HEADERS = ["Nº Línea", "Monto ($)", "Rebaja %", "Desde", "Activo", "Nota", "Nota"]
 
 
 def raw_table(t: Tables) -> DataFrame:
@@ -222,9 +222,9 @@ s AS (SELECT max(CASE WHEN l_extendedprice = floor(l_extendedprice) THEN 0 ELSE
   max(CASE WHEN round(l_discount * 100) % 100 = 0 THEN 0 ELSE length(split_part(d, '.', 2)) END) AS ds,
   bool_or(l_returnflag = 'R') AS r, bool_or(l_linenumber = 1) AS one FROM x)
 SELECT * FROM (SELECT 0 AS pos, 'no_linea' AS key, 'Nº Línea' AS label, 'number' AS type, false AS nullable, CAST(NULL AS INT) AS decimal_scale, false AS percent
-UNION ALL SELECT 1, 'importe', 'Importe ($)', 'number', false, CAST(ps AS INT), false FROM s
-UNION ALL SELECT 2, 'alicuota', 'Alícuota %', 'number', false, CAST(ds AS INT), true FROM s
-UNION ALL SELECT 3, 'vigencia', 'Vigencia', 'date', false, NULL, false
+UNION ALL SELECT 1, 'monto', 'Monto ($)', 'number', false, CAST(ps AS INT), false FROM s
+UNION ALL SELECT 2, 'rebaja', 'Rebaja %', 'number', false, CAST(ds AS INT), true FROM s
+UNION ALL SELECT 3, 'desde', 'Desde', 'date', false, NULL, false
 UNION ALL SELECT 4, 'activo', 'Activo', 'boolean', r, NULL, false FROM s
 UNION ALL SELECT 5, 'nota', 'Nota', 'string', false, NULL, false
 UNION ALL SELECT 6, 'nota_2', 'Nota', 'string', one, NULL, false FROM s)""")
@@ -232,15 +232,15 @@ def infer_schema(t: Tables) -> DataFrame:
     return columns_frame(t.spark, normalized(t).columns)
 
 
-@R.add("""SELECT l_orderkey * 8 + l_linenumber AS _row, CAST(l_linenumber AS DOUBLE) AS no_linea, l_extendedprice AS importe,
-  round(l_discount * 100) / 100 AS alicuota, strftime(l_shipdate, '%Y-%m-%d') AS vigencia,
+@R.add("""SELECT l_orderkey * 8 + l_linenumber AS _row, CAST(l_linenumber AS DOUBLE) AS no_linea, l_extendedprice AS monto,
+  round(l_discount * 100) / 100 AS rebaja, strftime(l_shipdate, '%Y-%m-%d') AS desde,
   CASE l_returnflag WHEN 'A' THEN true WHEN 'N' THEN false END AS activo,
   CASE WHEN l_linestatus = 'F' THEN CAST(CAST(l_quantity AS BIGINT) AS VARCHAR) ELSE 'lote ' || l_returnflag END AS nota,
   CASE WHEN l_linenumber > 1 THEN 'x' END AS nota_2
 FROM lineitem""")
 def normalize_rows(t: Tables) -> DataFrame:
     rows = normalized(t).rows
-    return rows.withColumn("vigencia", F.date_format("vigencia", "yyyy-MM-dd"))
+    return rows.withColumn("desde", F.date_format("desde", "yyyy-MM-dd"))
 
 
 @R.add("""SELECT 'mixed-types' AS kind, 5 AS col_pos, 'mixed-types column ''nota'': ' || string_agg(k, ', ' ORDER BY r) || ' -> string' AS detail

@@ -67,10 +67,10 @@ def printed_fragments(t: Tables) -> DataFrame:
     top = F.lit(800)
     furniture = [
         at("Informe de operaciones del periodo", F.lit(830), x=60, width=400.0),
-        at("Codigo", top, x=60),
+        at("Clave", top, x=60),
         at("Cantidad", top, right=200, jitter=0.5),
-        at("Importe", top, right=330, jitter=1.0),
-        at("Alícuota", top, right=430, jitter=1.5),
+        at("Monto", top, right=330, jitter=1.0),
+        at("Rebaja", top, right=430, jitter=1.5),
         at(F.concat(F.lit("Página "), F.col("page").cast("string")), F.lit(20), x=60),
     ]
     printed = F.when(F.col("r") == 1, F.array(*cells, *furniture)).otherwise(F.array(*cells))
@@ -190,7 +190,7 @@ def rebuild_table(t: Tables) -> DataFrame:
 
 @R.add(f"""WITH {ROWS_SQL}
 SELECT doc_id, page, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY page) - 1 AS INT) AS table_index, cols AS columns,
-  CASE WHEN cols = 4 THEN 'Codigo|Cantidad|Importe|Alícuota' ELSE 'Codigo|Cantidad|Importe Alícuota' END AS headers,
+  CASE WHEN cols = 4 THEN 'Clave|Cantidad|Monto|Rebaja' ELSE 'Clave|Cantidad|Monto Rebaja' END AS headers,
   true AS has_header, n AS row_count FROM p""")
 def detected_tables(t: Tables) -> DataFrame:
     tables = P.extract_tables(fragments(t)).tables
@@ -198,10 +198,10 @@ def detected_tables(t: Tables) -> DataFrame:
 
 
 @R.add(f"""WITH {ROWS_SQL}, x AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY page) AS nth FROM p)
-SELECT doc_id, page, CASE WHEN cols = 4 THEN 'Codigo|Cantidad|Importe|Alícuota' ELSE 'Codigo|Cantidad|Importe Alícuota' END AS headers
+SELECT doc_id, page, CASE WHEN cols = 4 THEN 'Clave|Cantidad|Monto|Rebaja' ELSE 'Clave|Cantidad|Monto Rebaja' END AS headers
 FROM x WHERE nth = 3""")
 def hinted_headers(t: Tables) -> DataFrame:
-    found = P.extract_tables(fragments(t), header_hints=["codigo", "Tramo"], table_index=2)
+    found = P.extract_tables(fragments(t), header_hints=["clave", "Tramo"], table_index=2)
     return found.tables.select("doc_id", "page", F.array_join("headers", "|").alias("headers"))
 
 
