@@ -3,11 +3,11 @@
 Method. A normalised text is a lattice of vocabulary pieces. Forward Viterbi
 gives the best score of each prefix; those scores are exact heuristics for an
 A* search from the end backwards, which yields whole segmentations best first.
-No piece crosses from a character into a following space mark, so the lattice
-falls apart at those points: best and second-best scores are kept per distinct
-stretch, and the n best of a text differ from its best one only in the n - 1
+The lattice falls apart where no piece can cross: before a space mark, and
+before an ASCII sign or digit that follows a Latin letter. Best and second-best scores are kept
+per distinct stretch, and the n best of a text differ from its best one only in the n - 1
 stretches whose second-best path costs least. The A* search runs on those.
-A vocabulary with pieces across such points makes the whole text one stretch.
+A vocabulary with pieces across such points is cut less, or not at all.
 
 Scores are the model's own piece scores, added up; a character without a piece
 becomes its byte pieces, at ten below the lowest ordinary score. For a BPE vocabulary
@@ -50,12 +50,24 @@ LOW = float("-inf")
 NEVER = -1e8
 
 
+def _stretches(pieces: list[str]) -> str:
+    """A pattern for the longest stretches that no piece can leave."""
+    if any(re.search(f"[^{MARK}]{MARK}", p) for p in pieces):
+        return r"[\s\S]+"
+    sign, letter = r"\x00-@\[-`{-\x7f", "[A-Za-zÀ-ÖØ-öø-ɏ]"
+    if any(re.search(f"{letter}[{sign}]", p) for p in pieces):
+        return f"{MARK}+[^{MARK}]*|[^{MARK}]+"
+    other = f"[^{sign}{MARK}]"
+    return f"(?=[\\s\\S]){MARK}*[{sign}]*{other}*(?:(?<!{letter})[{sign}]+{other}*)*"
+
+
 class Vocabulary:
     """Pieces of a model, and segmentations of stretches of normalised text."""
 
     def __init__(self, model: bytes) -> None:
         self.model = sp = sentencepiece.SentencePieceProcessor(model_proto=model)
-        self.table: dict[str, tuple[int, float] | None] = {}
+        # Pieces as nested maps: character -> (next map, id or -1, score).
+        self.root: dict[str, tuple[dict, int, float]] = {}
         self.byte_ids, self.bytes = {}, []
         usable = []
         for i in range(len(sp)):
@@ -69,11 +81,13 @@ class Vocabulary:
                 usable.append((piece, i, sp.get_score(i)))
                 self.bytes.append(piece.replace(MARK, " ").encode())
         for piece, i, score in usable:
-            for k in range(1, len(piece)):
-                self.table.setdefault(piece[:k], None)
-            self.table[piece] = (i, score)
+            node = self.root
+            for k, c in enumerate(piece):
+                below, own, value = node.get(c, ({}, -1, 0.0))
+                node[c] = (below, i, score) if k == len(piece) - 1 else (below, own, value)
+                node = below
         self.unknown = min((s for *_, s in usable if s > NEVER), default=0.0) - 10
-        self.stretch = re.compile(r"[\s\S]+" if any(re.search(f"[^{MARK}]{MARK}", p) for p, *_ in usable) else f"{MARK}+[^{MARK}]*|[^{MARK}]+")
+        self.stretch = re.compile(_stretches([p for p, *_ in usable]))
         self.prefixed = sp.normalize("a") != "a"
         sizes = np.array([len(b) for b in self.bytes])
         self.byte_size, self.byte_start = sizes, np.concatenate([[0], np.cumsum(sizes)[:-1]])
@@ -86,14 +100,15 @@ class Vocabulary:
 
     def arcs(self, s: str, i: int) -> Iterator[tuple[int, int, float]]:
         """(end, id, score) of the pieces that start at i; id -1 stands for the bytes of a character."""
-        get, single = self.table.get, False
-        for j in range(i + 1, len(s) + 1):
-            hit = get(s[i:j], 0)
-            if hit:
-                single |= j == i + 1
-                yield j, hit[0], hit[1]
-            elif hit == 0:
+        node, single = self.root, False
+        for j in range(i, len(s)):
+            hit = node.get(s[j])
+            if hit is None:
                 break
+            node, k, score = hit
+            if k >= 0:
+                single |= j == i
+                yield j + 1, k, score
         if not single:
             yield i + 1, -1, self.unknown
 
@@ -105,34 +120,33 @@ class Vocabulary:
 
     def add(self, s: str) -> int:
         """Best path of a stretch and the lead of its best score over the second best."""
-        n, get = len(s), self.table.get
+        n, root, unknown = len(s), self.root, self.unknown
         one, two, back, own = [LOW] * (n + 1), [LOW] * (n + 1), [0] * (n + 1), [0] * (n + 1)
         one[0] = 0.0
         for i in range(n):
-            a, b, single = one[i], two[i], False
+            a, b, node, single = one[i], two[i], root, False
             for j in range(i + 1, n + 1):
-                hit = get(s[i:j], 0)
-                if hit:
-                    if j == i + 1:
-                        single = True
-                    k, score = hit
-                    c = a + score
-                    if c > one[j]:
-                        two[j], one[j], back[j], own[j] = one[j], c, i, k
-                    elif c > two[j]:
-                        two[j] = c
-                    if b + score > two[j]:
-                        two[j] = b + score
-                elif hit == 0:
+                hit = node.get(s[j - 1])
+                if hit is None:
                     break
+                node, k, score = hit
+                if k < 0:
+                    continue
+                if j == i + 1:
+                    single = True
+                c, top = a + score, one[j]
+                if c > top:
+                    two[j] = top if top > b + score else b + score
+                    one[j], back[j], own[j] = c, i, k
+                elif c > two[j]:
+                    two[j] = c
             if not single:
-                j, c = i + 1, a + self.unknown
+                j, c = i + 1, a + unknown
                 if c > one[j]:
-                    two[j], one[j], back[j], own[j] = one[j], c, i, -1
+                    two[j] = max(one[j], b + unknown)
+                    one[j], back[j], own[j] = c, i, -1
                 elif c > two[j]:
                     two[j] = c
-                if b + self.unknown > two[j]:
-                    two[j] = b + self.unknown
         path, j = [], n
         while j:
             path.append((back[j], own[j]))
