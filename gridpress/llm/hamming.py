@@ -5,12 +5,13 @@ Method. A vector's code is the signs of its elements, cut into segments of
 values. Round a probes every segment with all masks of exactly a bits, so that
 after it each code within distance m * (a + 1) - 1 of the query (m segments)
 has been met: farther codes differ by more than a bits in every segment.
-Candidates are verified on whole codes; a query stops once its k-th verified
+Candidates are verified on whole codes inside the tasks that meet them, and a
+task sends on no more than k per query; a query stops once its k-th verified
 distance is covered, and goes on otherwise. The answer is exact.
 
 Skew. Equal codes are one index entry that carries at most their k smallest
 ids, since no more can be among a query's k nearest; they are cut down before
-the shuffle. Only unfinished queries are probed again. The driver learns only
+the shuffle. A common segment value has its codes in several lists. Only unfinished queries are probed again. The driver learns only
 whether any is left.
 
 Edge cases. Ties go to the smaller id. A null vector has no code: it neither
@@ -22,6 +23,12 @@ fewer answers; an empty table none. Other columns are ignored.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from functools import partial
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -31,6 +38,8 @@ from workloads.base import Registry, Tables
 R = Registry()
 
 SEGMENT = 16
+#: Codes in one list of the index.
+LIST_ROWS = 1024
 
 
 def codes(vectors: DataFrame, bits: int) -> DataFrame:
@@ -43,54 +52,98 @@ def codes(vectors: DataFrame, bits: int) -> DataFrame:
     return vectors.filter("embedding is not null").select(F.col("vec_id").alias("id"), F.array(*segments).alias("code"))
 
 
-def _nearest(rows: DataFrame, k: int) -> DataFrame:
-    order = Window.partitionBy("query", "asked").orderBy("distance", "id")
+def _index(classes: DataFrame) -> DataFrame:
+    """(segment, value, held): the codes with a segment value, in lists of about ``LIST_ROWS``."""
+    entry = F.struct("cid", "least", "code").alias("entry")
+    rows = classes.select(entry, F.posexplode("code").alias("segment", "value"))
+    long = rows.groupBy("segment", "value").agg(F.count("*").alias("n")).filter(F.col("n") > LIST_ROWS)
+    rows = rows.join(long, ["segment", "value"], "left")
+    part = F.pmod(F.xxhash64("entry.cid"), F.coalesce(F.ceil(F.col("n") / LIST_ROWS), F.lit(1)))
+    return rows.groupBy("segment", "value", part.alias("part")).agg(F.collect_list("entry").alias("held")).drop("part")
+
+
+def _probes(batches: Iterator[pa.RecordBatch], a: int) -> Iterator[pa.RecordBatch]:
+    """(ask, asked, segment, value): each query's segment values under all masks of a bits."""
+    masks = np.arange(1 << SEGMENT)
+    masks = masks[np.bitwise_count(masks) == a]
+    for batch in batches:
+        for ask, asked in zip(batch["ask"].to_pylist(), batch["asked"].to_pylist(), strict=True):
+            for segment, own in enumerate(asked):
+                n = len(masks)
+                code = pa.ListArray.from_arrays(pa.array(np.arange(n + 1) * len(asked), pa.int32()), pa.array(np.tile(np.array(asked, np.int32), n)))
+                columns = [pa.array(np.full(n, ask)), code, pa.array(np.full(n, segment, np.int32)), pa.array((masks ^ own).astype(np.int32))]
+                yield pa.RecordBatch.from_arrays(columns, ["ask", "asked", "segment", "value"])
+
+
+def _verified(batches: Iterator[pa.RecordBatch], k: int, m: int) -> Iterator[pa.RecordBatch]:
+    """Whole-code distances of the codes met; of each query, the k nearest of a batch go on."""
+    for batch in batches:
+        held = batch["held"]
+        size = np.diff(held.offsets.to_numpy())
+        inner = held.flatten()
+        cid, least, code = inner.field("cid").to_numpy(), inner.field("least"), inner.field("code").flatten().to_numpy().reshape(-1, m)
+        ask = np.repeat(batch["ask"].to_numpy(), size)
+        asked = np.repeat(batch["asked"].flatten().to_numpy().reshape(-1, m), size, axis=0)
+        distance = np.bitwise_count(code ^ asked).sum(1, dtype=np.int64)
+        # Ids are ordered nulls first, as Spark orders them.
+        rank = pc.rank(least, sort_keys="ascending", null_placement="at_start", tiebreaker="dense").to_numpy().astype(np.int64)
+        order = np.lexsort((cid, rank, distance, ask))
+        fresh = np.ones(len(order), bool)
+        fresh[1:] = (ask[order][1:] != ask[order][:-1]) | (cid[order][1:] != cid[order][:-1])
+        order = order[fresh]
+        head = np.ones(len(order), bool)
+        head[1:] = ask[order][1:] != ask[order][:-1]
+        place = np.arange(len(order)) - np.maximum.accumulate(np.where(head, np.arange(len(order)), 0))
+        order = order[place < k]
+        yield pa.RecordBatch.from_arrays([pa.array(ask[order]), pa.array(cid[order]), least.take(pa.array(order)), pa.array(distance[order])], ["ask", "cid", "least", "distance"])
+
+
+def _first(rows: DataFrame, k: int, by: str) -> DataFrame:
+    order = Window.partitionBy("ask").orderBy("distance", by)
     return rows.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
 
 
-def met_before(found: DataFrame, best: DataFrame) -> DataFrame:
-    """Answers of this round and of earlier ones; a code met again counts once."""
-    codes_met = best.select("query", "asked", "code").distinct()
-    return found.join(codes_met, ["query", "asked", "code"], "left_anti").unionByName(best)
-
-
 def top_k(queries: DataFrame, vectors: DataFrame, k: int = 10) -> DataFrame:
     """(query, rank, id, distance): the k rows of ``vectors`` nearest to each of ``queries`` (vec_id, embedding)."""
-    bits = vectors.agg(F.max(F.size("embedding"))).first()[0] or 0
-    bits = max(bits, 1)
+    spark = vectors.sparkSession
+    bits = max(vectors.agg(F.max(F.size("embedding"))).first()[0] or 0, 1)
     m = -(-bits // SEGMENT)
-    rows = codes(vectors, bits)
+    kind = vectors.schema["vec_id"].dataType.simpleString()
     order = Window.partitionBy("code").orderBy("id")
-    kept = rows.withColumn("n", F.row_number().over(order)).filter(F.col("n") <= k)
-    classes = stage(kept.groupBy("code").agg(F.collect_list("id").alias("ids")), "codes")
-    index = stage(classes.select("code", "ids", F.posexplode("code").alias("segment", "value")), "index")
-    active = stage(codes(queries, bits).select(F.col("id").alias("query"), F.col("code").alias("asked")).distinct(), "queries")
-    best, answers = None, []
+    kept = codes(vectors, bits).withColumn("n", F.row_number().over(order)).filter(F.col("n") <= k)
+    classes = kept.groupBy("code").agg(F.sort_array(F.collect_list(F.struct("id"))).alias("ids"))
+    classes = stage(classes.select("code", "ids", F.col("ids")[0]["id"].alias("least"), F.monotonically_increasing_id().alias("cid")), "codes")
+    index = stage(_index(classes), "index")
+    asked = codes(queries, bits).select(F.col("id").alias("query"), F.col("code").alias("asked")).distinct()
+    asked = stage(asked.withColumn("ask", F.monotonically_increasing_id()), "queries")
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    active, best, answers = asked.select("ask", "asked"), None, []
     for a in range(SEGMENT + 1):
-        masks = F.filter(F.sequence(F.lit(0), F.lit((1 << SEGMENT) - 1)), lambda x: F.bit_count(x) == a)
-        probes = active.select("query", "asked", F.posexplode("asked").alias("segment", "own")).select("query", "asked", "segment", "own", F.explode(masks).alias("mask"))
-        probes = probes.select("query", "asked", "segment", F.col("own").bitwiseXOR(F.col("mask")).alias("value"))
-        met = probes.join(index, ["segment", "value"]).dropDuplicates(["query", "asked", "code"])
-        distance = F.aggregate(F.zip_with("asked", "code", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
-        found = met.select("query", "asked", "code", distance.alias("distance"), F.explode("ids").alias("id"))
+        probes = active.repartition(parts, "ask").mapInArrow(partial(_probes, a=a), "ask bigint, asked array<int>, segment int, value int")
+        # Probes outnumber what their size estimate says, so neither side may be broadcast.
+        met = probes.join(index.hint("merge"), ["segment", "value"]).select("ask", "asked", "held")
+        found = met.mapInArrow(partial(_verified, k=k, m=m), f"ask bigint, cid bigint, least {kind}, distance bigint")
         if best is not None:
-            found = met_before(found, best)
+            found = found.unionByName(best)
+        found = stage(_first(found.dropDuplicates(["ask", "cid"]), k, "least").drop("rank"), "nearest")
+        rows = found.join(classes.select("cid", F.explode("ids.id").alias("id")), "cid")
+        ranked = stage(_first(rows, k, "id").select("ask", "rank", "id", "distance"), "ranked")
         covered = m * (a + 1) - 1
-        ranked = stage(_nearest(found, k), "nearest")
-        closed = ranked.groupBy("query", "asked").agg(F.max("distance").alias("worst"), F.count("*").alias("n"))
-        closed = closed.filter((F.col("n") == k) & (F.col("worst") <= covered)).select("query", "asked")
-        last = covered >= bits
-        answers.append(ranked if last else ranked.join(closed, ["query", "asked"], "left_semi"))
-        if last:
+        if covered >= bits:
+            answers.append(ranked)
             break
-        active = stage(active.join(closed, ["query", "asked"], "left_anti"), "queries")
+        closed = ranked.groupBy("ask").agg(F.max("distance").alias("worst"), F.count("*").alias("n"))
+        closed = closed.filter((F.col("n") == k) & (F.col("worst") <= covered)).select("ask")
+        answers.append(ranked.join(closed, "ask", "left_semi"))
+        active = stage(active.join(closed, "ask", "left_anti"), "active")
         if active.isEmpty():
             break
-        best = ranked.join(active, ["query", "asked"], "left_semi").drop("rank")
+        best = found.join(active, "ask", "left_semi")
     out = answers[0]
     for more in answers[1:]:
         out = out.unionByName(more)
-    return out.select("query", F.col("rank").cast("long").alias("rank"), "id", F.col("distance").cast("long").alias("distance"))
+    out = out.join(asked.select("ask", "query"), "ask")
+    return out.select("query", F.col("rank").cast("long").alias("rank"), "id", "distance")
 
 
 SQL = """
