@@ -168,9 +168,10 @@ class Vocabulary:
                 into[j].append((i, k, score))
                 if best[i] + score > best[j]:
                     best[j] = best[i] + score
-        agenda, count, found = [(-best[size], 0, size, 0.0, None)], 0, []
+        # Among equal totals the one nearest to the start comes first, or ties would all be opened.
+        agenda, count, found = [(-best[size], size, 0, 0.0, None)], 0, []
         while agenda and len(found) < n:
-            total, _, at, after, tail = heapq.heappop(agenda)
+            total, at, _, after, tail = heapq.heappop(agenda)
             if at == 0:
                 path = []
                 while tail is not None:
@@ -180,7 +181,7 @@ class Vocabulary:
                 continue
             for i, k, score in into[at]:
                 count += 1
-                heapq.heappush(agenda, (-(best[i] + score + after), count, i, after + score, (i, k, tail)))
+                heapq.heappush(agenda, (-(best[i] + score + after), i, count, after + score, (i, k, tail)))
         return found
 
     def text_n_best(self, stretches: list[str], index: np.ndarray, n: int) -> list[tuple[float, list[tuple[int, list[int]]]]]:
