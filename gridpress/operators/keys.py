@@ -9,10 +9,6 @@ from pyspark.sql import functions as F
 from gridpress.errors import UnprocessableContent
 from gridpress.model import ROW
 
-#: More distinct keys than this is a keyed payload, not a table.
-MAX_COLUMNS = 10_000
-
-
 def key_positions(df: DataFrame, keys: C, row: str = ROW) -> DataFrame:
     """Each distinct key with its first place ``(row, pos)``.
 
@@ -23,12 +19,16 @@ def key_positions(df: DataFrame, keys: C, row: str = ROW) -> DataFrame:
     return exploded.where("key IS NOT NULL").groupBy("key").agg(F.min(F.struct("_r", "_p")).alias("first"))
 
 
-def header_union(df: DataFrame, keys: C, row: str = ROW) -> list[str]:
-    """Distinct keys in order of first appearance (metadata on the driver)."""
-    found = key_positions(df, keys, row).orderBy("first").select("key").limit(MAX_COLUMNS + 1).collect()
-    if len(found) > MAX_COLUMNS:
-        raise UnprocessableContent(f"more than {MAX_COLUMNS} distinct keys: not a table")
-    return [r["key"] for r in found]
+def header_union(df: DataFrame, keys: C, row: str = ROW, most: int | None = None) -> list[str]:
+    """Distinct keys in order of first appearance (metadata on the driver).
+
+    With ``most``, a payload of more distinct keys is refused as no table.
+    """
+    found = key_positions(df, keys, row).orderBy("first").select("key")
+    names = [r["key"] for r in (found if most is None else found.limit(most + 1)).collect()]
+    if most is not None and len(names) > most:
+        raise UnprocessableContent(f"more than {most} distinct keys: not a table")
+    return names
 
 
 def widest_row(df: DataFrame, cells: C) -> int:

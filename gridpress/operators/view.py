@@ -15,6 +15,7 @@ from datetime import datetime, timezone
 
 from pyspark.sql import Column as C
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -44,9 +45,6 @@ DATE_VALUE = re.compile(r"\d{4}-\d{2}-\d{2}([T ].*)?", re.DOTALL)
 NUMBER_VALUE = re.compile(r"[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?")
 RADIX_VALUE = re.compile(r"0([xX][0-9a-fA-F]+|[oO][0-7]+|[bB][01]+)")
 
-#: Pages ending within this many rows use a bounded top-k; deeper pages are
-#: located through the row counts of a range-partitioned sorted copy.
-TOP_K_ROWS = 100_000
 
 
 # --- literals -------------------------------------------------------------
@@ -255,28 +253,31 @@ def deep_page(df: DataFrame, order: list[C], offset: int, limit: int) -> DataFra
 
     The rows are range-partitioned on the full order (ties included, so no
     key value is hot), written once, and counted per part. Only the parts
-    that overlap the page are read again, each shorter than its own offset.
+    that overlap the page are read again; their rows are numbered by a window
+    that sorts and spills, so no part is held in memory.
     """
-    part = "_part"
+    part, at = "_part", "_at"
     ranged = df.repartitionByRange(*order).withColumn(part, F.spark_partition_id())
     copy = stage(ranged, "page")
     # One count per range partition: bounded by the number of shuffle partitions.
     counts = sorted((r[part], r["count"]) for r in copy.groupBy(part).count().collect())
-    before, start, wanted = 0, None, []
+    before, wanted = 0, {}
     for p, n in counts:
         if before + n > offset and before < offset + limit:
-            wanted.append(p)
-            start = before if start is None else start
+            wanted[p] = before
         before += n
     if not wanted:
         return df.where(F.lit(False))
-    near = copy.where(F.col(part).isin(wanted)).drop(part)
-    return near.orderBy(*order).offset(offset - start).limit(limit)
+    near = copy.where(F.col(part).isin(list(wanted)))
+    start = F.create_map(*[F.lit(x) for pair in wanted.items() for x in pair])[F.col(part)]
+    numbered = near.withColumn(at, start + F.row_number().over(W.partitionBy(part).orderBy(*order)))
+    inside = numbered.where(F.col(at).between(offset + 1, offset + limit))
+    return inside.orderBy(at).drop(part, at)
 
 
 @dataclass(frozen=True)
 class View:
-    """Frames of one view request; nothing runs until one is consumed."""
+    """Frames of one view request; nothing runs until a frame is consumed."""
 
     request: Request
     filtered: DataFrame
@@ -290,12 +291,17 @@ class View:
 
     @property
     def page(self) -> DataFrame:
+        """The page asked for, as a sort with an offset and a limit."""
         r = self.request
-        if r.offset + r.limit <= TOP_K_ROWS:
-            rows = self.filtered.orderBy(*self.order).offset(r.offset).limit(r.limit)
-        else:
-            rows = deep_page(self.filtered, self.order, r.offset, r.limit)
-        return rows.select(*self.projection)
+        return self.filtered.orderBy(*self.order).offset(r.offset).limit(r.limit).select(*self.projection)
+
+    def deep_page(self) -> DataFrame:
+        """The same page for depths where sorting everything before it is too much.
+
+        Writes the matching rows to scratch and counts them at once.
+        """
+        r = self.request
+        return deep_page(self.filtered, self.order, r.offset, r.limit).select(*self.projection)
 
     @property
     def stats(self) -> DataFrame:

@@ -52,9 +52,11 @@ def _json(payloads, source: str, path: str | None, any_shape: bool) -> Normalize
     return found.table
 
 
-def ingest_manual(spark: SparkSession, config: dict) -> Result:
+def ingest_manual(spark: SparkSession, config: dict, max_bytes: int | None = DEFAULT_MAX_BYTES) -> Result:
     """A pasted payload: JSON of any shape, or delimited text."""
     payload = _require(config, "payload")
+    if max_bytes is not None and len(payload.encode()) > max_bytes:
+        raise PayloadTooLarge(f"payload exceeds {max_bytes} bytes", limit=max_bytes)
     if config["format"] == "json":
         frame = spark.createDataFrame([("payload", payload)], "payload_id string, payload string")
         return _json(frame, "manual", None, True), {"method": "manual-json"}
@@ -94,25 +96,32 @@ def ingest_url(spark: SparkSession, config: dict, max_bytes: int | None = DEFAUL
         raise UnsupportedMediaType(f"unsupported content type: {config.get('contentType') or 'unknown'}")
     meta = {"source_url": config["url"], "content_type": config.get("contentType"), "method": f"url-{reader}"}
     if reader == "pdf":
-        table, extra = ingest_pdf(spark, config)
+        table, extra = ingest_pdf(spark, config, max_bytes)
         return table, {**extra, **meta}
     path, size = _landed(spark, config, max_bytes)
     meta["bytes"] = size
     if reader == "json":
         return _json(read_payloads(spark, path, None), "url", None, False), meta
     delimiter = "\t" if chosen["ext"] == "tsv" else ","
-    return normalize_delimited(read_delimited(spark, path, delimiter, multi_line=True), "url"), meta
+    return normalize_delimited(read_delimited(spark, path, delimiter, multi_line=config.get("multiLine", True)), "url"), meta
+
 
+def ingest_pdf(spark: SparkSession, config: dict, max_bytes: int | None = DEFAULT_MAX_BYTES) -> Result:
+    """One table of one document, from its landed fragments.
 
-def ingest_pdf(spark: SparkSession, config: dict) -> Result:
-    """One table of a document, from its landed fragments."""
+    Fragments are Spark's own tables, not payloads: ``max_bytes`` does not
+    bound them.
+    """
     fragments = spark.read.parquet(_require(config, "landed"))
     index = config.get("tableIndex") or 0
     found = extract_tables(fragments, config.get("pages"), config.get("headerHints"), index)
     refused = found.rejects.take(1)
     if refused:
         raise UnprocessableContent(f"no table: {refused[0]['reason']}", reason=refused[0]["reason"])
-    table = found.tables.first()
+    tables = found.tables.take(2)
+    if len(tables) > 1:
+        raise UnprocessableContent("the landed fragments hold more than one document", reason="several-documents")
+    table = tables[0]
     shape = found.warnings.select(
         F.lit(PHASE_SHAPE).alias("phase"),
         (F.col("row") - 1).alias("_row"),
@@ -127,7 +136,7 @@ def ingest_pdf(spark: SparkSession, config: dict) -> Result:
 
 
 #: One strategy per source type.
-STRATEGIES: dict[str, Callable[[SparkSession, dict], Result]] = {
+STRATEGIES: dict[str, Callable[[SparkSession, dict, int | None], Result]] = {
     "manual": ingest_manual,
     "api": ingest_api,
     "url": ingest_url,
@@ -145,8 +154,16 @@ def register(store: Store, source_id: str, name: str, source_type: str, config:
     store.append("sources", (source_id, name, source_type, None, text, at))
 
 
-def ingest(store: Store, source_id: str, max_rows: int | None = DEFAULT_MAX_ROWS) -> Version:
-    """Run one ingest of a source, recording its start and its outcome."""
+def ingest(
+    store: Store,
+    source_id: str,
+    max_rows: int | None = DEFAULT_MAX_ROWS,
+    max_bytes: int | None = DEFAULT_MAX_BYTES,
+) -> Version:
+    """Run one ingest of a source, recording its start and its outcome.
+
+    ``None`` lifts a limit.
+    """
     found = store.sources().where(F.col("source_id") == source_id).take(1)
     if not found:
         raise NotFound(f"no source '{source_id}'", source_id=source_id)
@@ -156,7 +173,7 @@ def ingest(store: Store, source_id: str, max_rows: int | None = DEFAULT_MAX_ROWS
     config = json.loads(source["config"])
     store.event("source_events", source_id, L.START, None)
     try:
-        table, meta = STRATEGIES[source["type"]](store.spark, config)
+        table, meta = STRATEGIES[source["type"]](store.spark, config, max_bytes)
         if source["type"] == "pdf" and config.get("archive"):
             archive(store.spark, config["archive"], f"{store.root}/archive", source_id, str(store.next_version(source_id)))
         version = store.write_version(source_id, source["name"], table, meta, max_rows)

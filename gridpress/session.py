@@ -8,7 +8,11 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 #: Settings that change results rather than speed.
-REQUIRED_CONF = {"spark.sql.session.timeZone": "UTC"}
+REQUIRED_CONF = {
+    "spark.sql.session.timeZone": "UTC",
+    # Of a member that a JSON object repeats, the last value counts.
+    "spark.sql.variant.allowDuplicateKeys": "true",
+}
 
 CHECKPOINT_CONF = "spark.checkpoint.dir"
 
@@ -20,8 +24,12 @@ def configure(spark: SparkSession) -> SparkSession:
     return spark
 
 
-def local_session(cpus: int | str = "*", shuffle_partitions: int = 8) -> SparkSession:
-    """A local session for tests and benchmarks."""
+def local_session(cpus: int | str = "*", shuffle_partitions: int = 8, scratch: str | None = None) -> SparkSession:
+    """A local session for tests and benchmarks.
+
+    ``scratch`` is its folder for intermediate tables; without it, and where
+    the machine's settings name none, the session makes a folder of its own.
+    """
     builder = (
         SparkSession.builder.master(f"local[{cpus}]")
         .appName("gridpress")
@@ -32,26 +40,31 @@ def local_session(cpus: int | str = "*", shuffle_partitions: int = 8) -> SparkSe
     )
     for key, value in REQUIRED_CONF.items():
         builder = builder.config(key, value)
+    if scratch:
+        builder = builder.config(CHECKPOINT_CONF, scratch)
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
+    if not spark.conf.get(CHECKPOINT_CONF, None) and not spark.sparkContext.getCheckpointDir():
+        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="gridpress-"))
     return configure(spark)
 
 
 def scratch_root(spark: SparkSession) -> str:
     """Folder shared by all executors for intermediate tables.
 
-    The cluster names it in ``spark.checkpoint.dir``. Only a local session
-    without that setting gets a folder of its own.
+    The cluster names it in ``spark.checkpoint.dir``, or the application with
+    ``SparkContext.setCheckpointDir``.
     """
-    root = spark.conf.get(CHECKPOINT_CONF, None)
-    if root:
-        return root.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
-        raise RuntimeError(f"{CHECKPOINT_CONF} must name a folder shared by the cluster")
-    root = tempfile.mkdtemp(prefix="gridpress-")
-    spark.conf.set(CHECKPOINT_CONF, root)
-    spark.sparkContext.setCheckpointDir(root)
-    return root
+    root = spark.conf.get(CHECKPOINT_CONF, None) or spark.sparkContext.getCheckpointDir()
+    if not root:
+        raise RuntimeError(f"{CHECKPOINT_CONF} must name a folder that all executors share")
+    return root.rstrip("/")
+
+
+def clear_scratch(spark: SparkSession) -> None:
+    """Delete every staged table; frames that still read one fail from then on."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{scratch_root(spark)}/gridpress")
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def stage(df: DataFrame, label: str, partition_by: tuple[str, ...] = ()) -> DataFrame:

@@ -70,6 +70,25 @@ def _first_record(spark: SparkSession, path, delimiter: str, multi_line: bool) -
     return head[0]["record"] if head else None
 
 
+def _one_header(spark: SparkSession, path, delimiter: str, multi_line: bool, header: str) -> None:
+    """Refuse files whose first record differs: cells are read by position."""
+    scan = _reader(spark, 1, delimiter, multi_line, header=False).csv(path)
+    heads = (
+        scan.select(
+            F.coalesce(_BAD, "c0").alias("record"),
+            F.col("_metadata.file_path").alias("file"),
+            F.col("_metadata.file_block_start").alias("at"),
+        )
+        .withColumn("id", F.monotonically_increasing_id())
+        .where("at = 0")
+        .groupBy("file")
+        .agg(F.min_by("record", "id").alias("record"))
+    )
+    other = heads.where(F.ltrim(F.col("record"), F.lit("\ufeff")) != header.lstrip("\ufeff")).take(1)
+    if other:
+        raise UnprocessableContent(f"another header in {other[0]['file']}", file=other[0]["file"])
+
+
 def read_delimited(
     spark: SparkSession,
     path: str | list[str],
@@ -79,7 +98,8 @@ def read_delimited(
 ) -> RawTable:
     """Read delimited files as one table, in path and file order.
 
-    Every file starts with the header when there is one. Short rows are
+    Every file starts with the same header when there is one; a file with
+    another is refused. Short rows are
     padded with nulls and long rows cut to the header; both are reported.
     ``multi_line`` allows line breaks inside quotes (one task per file).
     """
@@ -89,6 +109,7 @@ def read_delimited(
         raise UnprocessableContent("the file has no rows")
     if has_header:
         headers = next(csv.reader([record.lstrip("\ufeff")], delimiter=delimiter))
+        _one_header(spark, path, delimiter, multi_line, record)
     else:
         probe = _reader(spark, 1, delimiter, multi_line, header=False).csv(path)
         cells = F.when(F.col(_BAD).isNull(), F.lit(1)).otherwise(cell_count(F.col(_BAD), delimiter))

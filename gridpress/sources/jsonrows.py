@@ -23,8 +23,8 @@ from gridpress.operators.normalize import NormalizedTable, normalize_table
 from gridpress.session import stage
 from gridpress.sources.rowids import group_offsets
 
-#: Levels of nested objects flattened; deeper payloads are refused.
-MAX_DEPTH = 8
+#: Levels of nested objects opened before asking whether any are left.
+LEVELS = 8
 
 _TEXTS = "array<string>"
 _MEMBERS = "map<string,string>"
@@ -145,30 +145,54 @@ def _members(t: C, v: C, prefix: C | None) -> C:
     return F.flatten(F.transform(F.array(both), expand))
 
 
-def flatten_rows(rows: DataFrame, depth: int = MAX_DEPTH) -> DataFrame:
-    """Replace ``_t``/``_v`` by ``cells``: array of key, text and kind.
+def _nested(e: C) -> C:
+    return V.is_object(e["t"], e["v"])
 
-    Members of nested objects are joined to their parent by ``_``; arrays
-    stay as JSON text. ``too_deep`` marks rows nested beyond ``depth``. A
-    row that is not an object is a single cell ``col_1``.
-    """
+
+def _opened(rows: DataFrame, depth: int) -> DataFrame:
+    """``_cells``: cells of each row with ``depth`` levels of nested objects opened."""
     t, v = F.col("_t"), F.col("_v")
     one = F.array(_entry(F.lit("col_1"), t, v))
     out = rows.withColumn("_cells", F.when(V.is_object(t, v), _members(t, v, None)).otherwise(one))
-    nested = lambda e: V.is_object(e["t"], e["v"])
     for _ in range(depth):
         # One reference to the column per level, so that inlining a level into
         # the next (as filter pushdown does) never multiplies the work.
         opened = F.transform(
-            "_cells", lambda e: F.when(nested(e), _members(e["t"], e["v"], e["key"])).otherwise(F.array(e))
+            "_cells", lambda e: F.when(_nested(e), _members(e["t"], e["v"], e["key"])).otherwise(F.array(e))
         )
         out = out.withColumn("_cells", F.flatten(opened))
+    return out
+
+
+def nesting(rows: DataFrame) -> int:
+    """Levels of nested objects to open until none is left in any row.
+
+    A row has no more levels than braces beside its own. Only where that
+    count is large are the rows themselves asked, some levels at a time.
+    """
+    braces = F.length("_t") - F.length(F.replace(F.col("_t"), F.lit("{"), F.lit("")))
+    depth = max((rows.agg(F.max(braces)).first()[0] or 0) - 1, 0)
+    if depth <= LEVELS:
+        return depth
+    depth = LEVELS
+    while not _opened(rows, depth).where(F.exists("_cells", _nested)).isEmpty():
+        depth += LEVELS
+    return depth
+
+
+def flatten_rows(rows: DataFrame) -> DataFrame:
+    """Replace ``_t``/``_v`` by ``cells``: array of key, text and kind.
+
+    Members of nested objects, however deep, are joined to their parent by
+    ``_``; arrays stay as JSON text. A row that is not an object is a single
+    cell ``col_1``.
+    """
+    out = _opened(rows, nesting(rows))
     cells = F.transform(
         "_cells",
         lambda e: F.struct(e["key"].alias("key"), e["t"].alias("text"), V.kind(e["v"]).alias("kind")),
     )
-    deep = F.exists("_cells", nested)
-    return out.withColumn("cells", cells).withColumn("too_deep", deep).drop("_t", "_v", "_cells")
+    return out.withColumn("cells", cells).drop("_t", "_v", "_cells")
 
 
 def cell_map(cells: C) -> C:
@@ -234,10 +258,9 @@ def read_json(
     located = locate_rows(parsed) if any_shape and not path else follow_path(parsed, path)
     # Headers, types and rows each read the cells: parse once, read thrice.
     rows = stage(flatten_rows(explode_rows(located, [order])), "json")
-    deep = rows.where("too_deep").select(order).distinct().withColumn("status", F.lit("too-deep"))
-    rejects = payload_rejects(located, [order]).unionByName(deep)
+    rejects = payload_rejects(located, [order])
     # One count per payload gives its offset: payloads are files, not rows.
-    numbered = _number(rows.where("not too_deep"), order)
+    numbered = _number(rows, order)
     return JsonTable(normalize_json(numbered, source), rejects)
 
 

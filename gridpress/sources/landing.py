@@ -19,9 +19,9 @@ def manifest(spark: SparkSession, path: str | list[str]) -> DataFrame:
     return files.select("path", F.col("modificationTime").alias("modified"), F.col("length").alias("bytes"))
 
 
-def size_guard(files: DataFrame, size: str = "bytes", max_bytes: int = DEFAULT_MAX_BYTES) -> DataFrame:
-    """Add ``accepted``: the payload is no larger than the limit."""
-    return files.withColumn("accepted", F.col(size) <= max_bytes)
+def size_guard(files: DataFrame, size: str = "bytes", max_bytes: int | None = DEFAULT_MAX_BYTES) -> DataFrame:
+    """Add ``accepted``: the payload is no larger than the limit; None sets no limit."""
+    return files.withColumn("accepted", F.lit(True) if max_bytes is None else F.col(size) <= max_bytes)
 
 
 def dispatch(files: DataFrame, content_type: str, hint: str, url: str) -> DataFrame:

@@ -111,10 +111,21 @@ def test_json_path(spark, path, status):
     assert J.follow_path(J.parse_payloads(df), path).first()["status"] == status
 
 
-def test_too_deep_rows_are_reported(spark):
-    text = '[{"a":' + '{"b":' * 12 + "1" + "}" * 12 + "},{\"a\":2}]"
+@pytest.mark.parametrize("depth", [1, 8, 12, 30])
+def test_rows_of_any_depth_are_kept(spark, depth):
+    text = '[{"a":' + '{"b":' * depth + "1" + "}" * depth + ',"w":"{{{{{{{{{{{{"},{"a":2}]'
     df = spark.createDataFrame([("p", text)], "payload_id string, payload string")
-    assert [r["status"] for r in J.read_json(df, "api").rejects.collect()] == ["too-deep"]
+    found = J.read_json(df, "api")
+    assert found.rejects.count() == 0
+    assert [c.key for c in found.table.columns] == ["a" + "_b" * depth, "w", "a"]
+    assert found.table.rows.count() == 2
+
+
+def test_last_of_repeated_members_counts(spark):
+    df = spark.createDataFrame([("p", '[{"a":1,"a":7}]')], "payload_id string, payload string")
+    found = J.read_json(df, "api")
+    assert found.rejects.count() == 0
+    assert [r["a"] for r in found.table.rows.collect()] == [7]
 
 
 def test_manifest_and_size_limit(spark, tmp_path):

@@ -22,16 +22,6 @@ class Tables:
         return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """Use every core for text-heavy work on a few unsplittable files.
-
-    Large tables have more splits than the cluster has cores and stay as
-    they are, with no shuffle.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
-
-
 class Registry:
     """Named queries and, where SQL can express them, their SQL."""
 

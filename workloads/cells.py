@@ -19,7 +19,7 @@ from gridpress.functions.text import (
 from gridpress.model import ROW
 from gridpress.operators.keys import header_union, key_positions, widest_row
 from gridpress.operators.normalize import normalize_table
-from workloads.base import Registry, Tables, spread
+from workloads.base import Registry, Tables
 
 R = Registry()
 
@@ -50,7 +50,7 @@ def amount_texts() -> C:
   l_linenumber = 6 AND l_extendedprice >= 1000 AS ambiguous
 FROM lineitem""")
 def normalize_numbers(t: Tables) -> DataFrame:
-    rows = spread(t.lineitem).select("l_orderkey", "l_linenumber", amount_texts().alias("raw"))
+    rows = t.lineitem.select("l_orderkey", "l_linenumber", amount_texts().alias("raw"))
     return rows.withColumn("p", N.parse_number(F.col("raw"))).select(
         "l_orderkey", "l_linenumber", "p.value", "p.ambiguous"
     )
@@ -65,13 +65,13 @@ def normalize_percent(t: Tables) -> DataFrame:
             *df.columns, F.col("cell.n").alias(name.removeprefix("l_"))
         )
 
-    rows = spread(t.lineitem.select("l_orderkey", "l_linenumber", "l_discount", "l_tax"))
+    rows = t.lineitem.select("l_orderkey", "l_linenumber", "l_discount", "l_tax")
     return back(back(rows, "l_discount"), "l_tax").drop("l_discount", "l_tax")
 
 
 @R.add("""SELECT doc_id, trim(regexp_replace(text, '\\s+', ' ', 'g')) AS text FROM documents""")
 def collapse_whitespace(t: Tables) -> DataFrame:
-    return spread(t.documents).select("doc_id", collapse(F.col("text")).alias("text"))
+    return t.documents.select("doc_id", collapse(F.col("text")).alias("text"))
 
 
 # A word per customer segment: null markers, truth words, and ordinary text.
@@ -127,7 +127,7 @@ def cell_texts() -> C:
   l_linenumber = 6 AND l_extendedprice >= 1000 AS ambiguous
 FROM lineitem""")
 def normalize_cells(t: Tables) -> DataFrame:
-    rows = spread(t.lineitem).select("l_orderkey", "l_linenumber", cell_texts().alias("raw"))
+    rows = t.lineitem.select("l_orderkey", "l_linenumber", cell_texts().alias("raw"))
     return X.read_cells(rows, "raw").select(
         "l_orderkey",
         "l_linenumber",
@@ -202,7 +202,7 @@ def raw_table(t: Tables) -> DataFrame:
     )
     # The surrogate position keeps source order without a global window.
     position = F.col("l_orderkey") * 8 + F.col("l_linenumber")
-    return spread(t.lineitem).select(position.alias(ROW), cells.alias("cells"))
+    return t.lineitem.select(position.alias(ROW), cells.alias("cells"))
 
 
 def normalized(t: Tables):
@@ -254,7 +254,7 @@ def column_warnings(t: Tables) -> DataFrame:
   'column ''monto'': ambiguous-number "' || replace(format('{:,}', CAST(floor(l_extendedprice) AS BIGINT)), ',', '.') || '"' AS detail
 FROM lineitem WHERE l_extendedprice >= 1000 AND l_extendedprice < 1000000""")
 def cell_warnings(t: Tables) -> DataFrame:
-    rows = spread(t.lineitem).select(
+    rows = t.lineitem.select(
         (F.col("l_orderkey") * 8 + F.col("l_linenumber")).alias(ROW), es_ar(F.floor(F.col(PRICE)), 0).alias("m")
     )
     out = normalize_table(rows, ["Monto"], [F.col("m")])

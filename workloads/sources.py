@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -11,9 +13,11 @@ from gridpress.model import ROW
 from gridpress.operators.keys import key_positions
 from gridpress.plans.catalog import latest_published
 from gridpress.plans.source_config import config_checks
+from gridpress.session import scratch_root
 from gridpress.sources import jsonrows as J
+from gridpress.sources.delimited import read_delimited
 from gridpress.sources.landing import dispatch, size_guard
-from workloads.base import Registry, Tables, spread
+from workloads.base import Registry, Tables
 from workloads.catalog import CTE, columns, datasets
 
 R = Registry()
@@ -29,7 +33,7 @@ def payloads(t: Tables) -> DataFrame:
     # An object with an array member would be a wrapper, so this one has none.
     single = RECORD.replace("'tags', array(o_orderstatus, o_orderpriority), ", "").replace("\n  ", " ")
     pair = f"'[', to_json({RECORD}), ',{{\"id\":', o_orderkey + 1, ',\"total\":null}}]'"
-    return spread(t.orders).selectExpr(
+    return t.orders.selectExpr(
         "o_orderkey AS payload_id",
         f"""CASE o_orderstatus WHEN 'O' THEN to_json({single}) WHEN 'F' THEN concat(' ', {pair})
         ELSE concat('{{"nota":"[x","items":', {pair}, '}}') END AS payload""",
@@ -70,7 +74,7 @@ def json_payload_status(t: Tables) -> DataFrame:
 
 
 def path_payloads(t: Tables) -> DataFrame:
-    return spread(t.orders).selectExpr(
+    return t.orders.selectExpr(
         "o_orderkey AS payload_id",
         f"""CASE o_orderpriority WHEN '1-URGENT' THEN concat('{{"data":[{{"rows":[', to_json({RECORD}), ',7]}}]}}')
         WHEN '2-HIGH' THEN '{{"data":[]}}' WHEN '3-MEDIUM' THEN '{{"data":[{{"rows":{{"a":1}}}}]}}'
@@ -94,7 +98,7 @@ def json_path_rows(t: Tables) -> DataFrame:
 
 @R.add("""SELECT event_id, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k, 'number' AS kind FROM events""")
 def json_flatten(t: Tables) -> DataFrame:
-    parsed = J.parse_payloads(spread(t.events).select("event_id", F.col("props").alias("payload")))
+    parsed = J.parse_payloads(t.events.select("event_id", F.col("props").alias("payload")))
     rows = J.flatten_rows(J.explode_rows(J.locate_rows(parsed), ["event_id"]))
     cell = F.col("cells")[0]
     return rows.select("event_id", cell["text"].try_cast("bigint").alias("k"), cell["kind"].alias("kind"))
@@ -126,6 +130,67 @@ def json_table(t: Tables) -> DataFrame:
     return J.read_json(payloads(t), "manual").table.rows
 
 
+DEEP = 12
+
+
+@R.add(f"""SELECT o_orderkey AS payload_id, 'id=' || CAST(o_orderkey AS VARCHAR) || '&a{"_b" * DEEP}=' || CAST(o_custkey AS VARCHAR) || '&t=' || o_orderstatus AS cells FROM orders""")
+def json_deep_rows(t: Tables) -> DataFrame:
+    opening, closing = '{"b":' * DEEP, "}" * DEEP
+    deep = t.orders.selectExpr(
+        "o_orderkey AS payload_id",
+        f"""concat('{{"id":', o_orderkey, ',"a":{opening}', o_custkey, '{closing},"t":"', o_orderstatus, '"}}') AS payload""",
+    )
+    rows = J.flatten_rows(J.explode_rows(J.locate_rows(J.parse_payloads(deep)), ["payload_id"]))
+    return rows.select("payload_id", _shown().alias("cells"))
+
+
+# --- delimited text ---------------------------------------------------------
+
+
+def _written(t: Tables, lines: DataFrame, order: str) -> str:
+    """Text files of a table, four or more, in the order of a key."""
+    path = f"{scratch_root(t.spark)}/gridpress/text-{uuid.uuid4().hex}"
+    lines.repartitionByRange(4, order).sortWithinPartitions(order).select("value").write.text(path)
+    return path
+
+
+CUSTOMERS = """SELECT CAST(row_number() OVER (ORDER BY c_custkey) - 1 AS BIGINT) AS _row, c_custkey, c_name || ', "x"' AS name, c_acctbal FROM customer"""
+
+
+@R.add(f"SELECT _row, CAST(c_custkey AS VARCHAR) AS key, name, CAST(c_acctbal AS VARCHAR) AS bal FROM ({CUSTOMERS})")
+def csv_table(t: Tables) -> DataFrame:
+    path = f"{scratch_root(t.spark)}/gridpress/text-{uuid.uuid4().hex}"
+    rows = t.customer.select("c_custkey", F.concat("c_name", F.lit(', "x"')).alias("name"), "c_acctbal")
+    sorted_rows = rows.repartitionByRange(4, "c_custkey").sortWithinPartitions("c_custkey")
+    sorted_rows.write.option("header", True).option("escape", '"').csv(path)
+    table = read_delimited(t.spark, path)
+    key, name, bal = table.cells
+    return table.rows.select(ROW, key.alias("key"), name.alias("name"), bal.alias("bal"))
+
+
+RAGGED = """SELECT c_custkey, CAST(row_number() OVER (ORDER BY c_custkey) - 1 AS BIGINT) AS r,
+  CASE WHEN c_custkey % 10 = 0 THEN 2 ELSE 3 END AS n FROM customer"""
+
+
+def _ragged(t: Tables):
+    rest = F.when(F.col("c_custkey") % 10 == 0, F.lit("")).otherwise(F.concat(F.lit(","), F.col("c_nationkey")))
+    value = F.concat(F.col("c_custkey").cast("string"), F.lit(',"a,b"'), rest)
+    lines = t.customer.select("c_custkey", value.alias("value"))
+    return read_delimited(t.spark, _written(t, lines, "c_custkey"), has_header=False)
+
+
+@R.add(f"""SELECT r AS _row, CAST(c_custkey AS VARCHAR) AS col_1, 'a,b' AS col_2, CASE WHEN n = 3 THEN CAST(c_nationkey AS VARCHAR) END AS col_3
+FROM ({RAGGED}) JOIN customer USING (c_custkey)""")
+def csv_headerless(t: Tables) -> DataFrame:
+    table = _ragged(t)
+    return table.rows.select(ROW, *[c.alias(h) for c, h in zip(table.cells, table.headers)])
+
+
+@R.add(f"""SELECT r AS _row, 'row ' || CAST(r + 1 AS VARCHAR) || ' had 2 cells, expected 3' AS detail FROM ({RAGGED}) WHERE n = 2""")
+def csv_ragged_warnings(t: Tables) -> DataFrame:
+    return _ragged(t).warnings.select(ROW, "detail")
+
+
 # --- files ------------------------------------------------------------------
 
 FILES = [

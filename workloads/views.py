@@ -251,3 +251,11 @@ def versions_by_name(t: Tables) -> DataFrame:
         F.col("c_custkey").alias("k"), F.col("c_name").alias("name"), F.col("c_mktsegment").alias("segment")
     )
     return old.unionByName(new, allowMissingColumns=True)
+
+
+@R.add("""SELECT l_orderkey, l_linenumber, l_extendedprice FROM lineitem
+ORDER BY l_extendedprice DESC NULLS LAST, l_orderkey, l_linenumber LIMIT 100 OFFSET 5500""")
+def view_deep_page(t: Tables) -> DataFrame:
+    definition = Definition("lines", fields=("l_orderkey", "l_linenumber", "l_extendedprice"), sort=(SortRule("l_extendedprice"),))
+    params = {"sort": "l_extendedprice:desc", "page": "56", "limit": "100"}
+    return view(t.lineitem, definition, params, tie_break=["l_orderkey", "l_linenumber"]).deep_page()
