@@ -8,6 +8,7 @@ record is appended last, so a version is visible only once it is complete.
 from __future__ import annotations
 
 import time
+import uuid
 from dataclasses import dataclass
 from datetime import datetime, timezone
 
@@ -29,14 +30,16 @@ from gridpress.plans import lifecycle as L
 SCHEMAS = {
     "sources": "source_id string, name string, type string, description string, config string, created_at timestamp",
     "datasets": "dataset_id string, source_id string, version int, name string, row_count bigint, columns_count int,"
-    " warnings_count bigint, created_at timestamp",
+    " warnings_count bigint, created_at timestamp, attempt string",
     "columns": "dataset_id string, pos int, key string, label string, type string, nullable boolean,"
-    " decimal_scale int, source string, percent boolean",
+    " decimal_scale int, source string, percent boolean, attempt string",
     "ingest_runs": "dataset_id string, method string, page_count int, table_count int, raw_row_count bigint,"
-    " source_url string, fetched_at timestamp, content_type string, bytes bigint, duration_ms bigint",
+    " source_url string, fetched_at timestamp, content_type string, bytes bigint, duration_ms bigint,"
+    " attempt string",
     "definitions": "definition_id string, slug string, name string, source_id string, dataset_id string,"
     " follow_latest boolean, fields array<string>, filters array<struct<field:string,op:string,required:boolean>>,"
-    " sort array<struct<field:string,dir:string>>, default_limit int, max_limit int, enabled boolean",
+    " sort array<struct<field:string,dir:string>>, default_limit int, max_limit int, enabled boolean,"
+    " seq bigint, removed boolean",
     "dataset_events": "entity_id string, seq bigint, event string, at timestamp",
     "source_events": "entity_id string, seq bigint, event string, detail string, at timestamp",
 }
@@ -70,8 +73,10 @@ class Store:
             return self.spark.createDataFrame([], SCHEMAS[name])
 
     def append(self, name: str, *records: tuple) -> None:
-        """Add a few catalog records (metadata, never rows)."""
-        frame = self.spark.createDataFrame(list(records), SCHEMAS[name]).coalesce(1)
+        """Add a few catalog records (metadata, never rows); fields left off at the end are null."""
+        width = len(self.spark.createDataFrame([], SCHEMAS[name]).columns)
+        padded = [tuple(r) + (None,) * (width - len(r)) for r in records]
+        frame = self.spark.createDataFrame(padded, SCHEMAS[name]).coalesce(1)
         frame.write.mode("append").parquet(f"{self.root}/catalog/{name}")
 
     def append_frame(self, name: str, frame: DataFrame) -> None:
@@ -102,8 +107,13 @@ class Store:
 
     # --- versions -----------------------------------------------------------
 
-    def rows_path(self, source_id: str, version: int) -> str:
-        return f"{self.root}/rows/source_id={source_id}/version={version}"
+    def rows_path(self, source_id: str, version: int, attempt: str) -> str:
+        """Folder of one attempt at a version; only the one that the catalog names counts."""
+        return f"{self.root}/rows/source_id={source_id}/version={version}/attempt={attempt}"
+
+    def _versions(self, source_id: str, version: int) -> list:
+        table = self.table("datasets")
+        return table.where((F.col("source_id") == source_id) & (F.col("version") == version)).take(1)
 
     def next_version(self, source_id: str) -> int:
         newest = self.table("datasets").where(F.col("source_id") == source_id).agg(F.max("version")).first()[0]
@@ -120,7 +130,9 @@ class Store:
     ) -> Version:
         """Store a normalised table as the next, immutable version.
 
-        Above ``max_rows`` nothing is stored; rows are never cut off.
+        Above ``max_rows`` nothing is stored; rows are never cut off. Rows go
+        to a folder of this attempt, and the catalog record that names it is
+        written last, so an attempt that broke off is never in the way.
         """
         started = time.time()
         if max_rows is not None:
@@ -128,25 +140,22 @@ class Store:
             if over > max_rows:
                 raise RowsLimitExceeded(f"more than {max_rows} rows", limit=max_rows)
         version = version or self.next_version(source_id)
-        path = self.rows_path(source_id, version)
-        try:
-            table.rows.write.mode("errorifexists").parquet(path)
-        except AnalysisException as error:
-            if error.getCondition() != "PATH_ALREADY_EXISTS":
-                raise
-            raise VersionConflict(f"version {version} of {source_id} exists", source_id=source_id) from None
+        self._free(source_id, version)
+        attempt = uuid.uuid4().hex
+        path = self.rows_path(source_id, version, attempt)
+        table.rows.write.parquet(path)
         row_count = self.spark.read.parquet(path).count()
         if row_count == 0:
             raise UnprocessableContent("the source has no rows")
 
         dataset_id = f"{source_id}-v{version}"
-        warnings_path = f"{self.root}/catalog/warnings/dataset_id={dataset_id}"
-        table.warnings.write.mode("overwrite").parquet(warnings_path)
+        warnings_path = self._warnings_path(dataset_id, attempt)
+        table.warnings.write.parquet(warnings_path)
         warnings_count = self.spark.read.parquet(warnings_path).count()
         self.append(
             "columns",
             *[
-                (dataset_id, i, c.key, c.label, c.type, c.nullable, c.decimal_scale, c.source, c.percent)
+                (dataset_id, i, c.key, c.label, c.type, c.nullable, c.decimal_scale, c.source, c.percent, attempt)
                 for i, c in enumerate(table.columns)
             ],
         )
@@ -164,12 +173,20 @@ class Store:
                 m.get("content_type"),
                 m.get("bytes"),
                 int(m.get("duration_ms", (time.time() - started) * 1000)),
+                attempt,
             ),
         )
-        record = (dataset_id, source_id, version, name, row_count, len(table.columns), warnings_count, _now())
-        self.append("datasets", record)
+        self._free(source_id, version)
+        self.append("datasets", (dataset_id, source_id, version, name, row_count, len(table.columns), warnings_count, _now(), attempt))
         return Version(dataset_id, source_id, version, row_count, len(table.columns))
 
+    def _free(self, source_id: str, version: int) -> None:
+        if self._versions(source_id, version):
+            raise VersionConflict(f"version {version} of {source_id} exists", source_id=source_id)
+
+    def _warnings_path(self, dataset_id: str, attempt: str) -> str:
+        return f"{self.root}/catalog/warnings/dataset_id={dataset_id}/attempt={attempt}"
+
     def _record(self, dataset_id: str):
         found = self.datasets().where(F.col("dataset_id") == dataset_id).take(1)
         if not found:
@@ -177,7 +194,10 @@ class Store:
         return found[0]
 
     def read_version(self, source_id: str, version: int) -> DataFrame:
-        return self.spark.read.parquet(self.rows_path(source_id, version))
+        found = self._versions(source_id, version)
+        if not found:
+            raise NotFound(f"no version {version} of '{source_id}'", source_id=source_id)
+        return self.spark.read.parquet(self.rows_path(source_id, version, found[0]["attempt"]))
 
     def preview(self, dataset_id: str, rows: int | None = PREVIEW_ROWS) -> tuple[DataFrame, bool]:
         """The first rows in order (all when None), and whether any were left out."""
@@ -190,16 +210,16 @@ class Store:
 
     def columns(self, dataset_id: str) -> list[Column]:
         """Column descriptions of one dataset, without touching its rows."""
-        found = self.table("columns").where(F.col("dataset_id") == dataset_id).orderBy("pos").collect()
-        if not found:
-            raise NotFound(f"no dataset '{dataset_id}'", dataset_id=dataset_id)
+        attempt = self._record(dataset_id)["attempt"]
+        mine = (F.col("dataset_id") == dataset_id) & F.col("attempt").eqNullSafe(attempt)
+        found = self.table("columns").where(mine).orderBy("pos").collect()
         return [
             Column(r["key"], r["type"], r["label"], r["nullable"], r["decimal_scale"], r["source"], r["percent"])
             for r in found
         ]
 
     def warnings(self, dataset_id: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self.root}/catalog/warnings/dataset_id={dataset_id}")
+        return self.spark.read.parquet(self._warnings_path(dataset_id, self._record(dataset_id)["attempt"]))
 
     # --- lifecycle ----------------------------------------------------------
 
@@ -223,17 +243,47 @@ class Store:
         self.event("source_events", source_id, L.REMOVE, None)
         return disabled
 
+    def create_definition(self, definition_id: str, slug: str, **fields) -> None:
+        """Add a definition; id and slug must be free."""
+        taken = self.definitions().where((F.col("definition_id") == definition_id) | (F.col("slug") == slug)).take(1)
+        if taken:
+            raise InvalidState(f"'{slug}' or '{definition_id}' is taken", slug=slug)
+        self._define({"enabled": True, "follow_latest": True, **fields, "definition_id": definition_id, "slug": slug})
+
+    def update_definition(self, definition_id: str, **changes) -> None:
+        """Change some fields of a definition; its id and slug stay."""
+        fixed = {"definition_id", "slug"} & set(changes)
+        if fixed:
+            raise InvalidState(f"{', '.join(sorted(fixed))} cannot change", definition_id=definition_id)
+        found = self.definitions().where(F.col("definition_id") == definition_id).take(1)
+        if not found:
+            raise NotFound(f"no definition '{definition_id}'", definition_id=definition_id)
+        self._define({**found[0].asDict(recursive=True), **changes})
+
+    def remove_definition(self, definition_id: str) -> None:
+        self.update_definition(definition_id, removed=True)
+
+    def _define(self, fields: dict) -> None:
+        names = [f.name for f in self.table("definitions").schema]
+        unknown = set(fields) - set(names)
+        if unknown:
+            raise InvalidState(f"a definition has no {', '.join(sorted(unknown))}", definition_id=fields["definition_id"])
+        record = {**dict.fromkeys(names), **fields, "seq": time.time_ns()}
+        self.append("definitions", tuple(record[n] for n in names))
+
     def definitions(self) -> DataFrame:
-        """Definitions; those of removed sources count as disabled."""
+        """The last state of each definition; those of removed sources count as disabled."""
         removed = (
             self.table("source_events")
             .where(F.col("event") == L.REMOVE)
             .select(F.col("entity_id").alias("source_id"), F.lit(True).alias("_removed"))
             .distinct()
         )
-        listed = self.table("definitions")
+        table = self.table("definitions")
+        state = F.max_by(F.struct(*table.columns), F.coalesce("seq", F.lit(0))).alias("s")
+        listed = table.groupBy("definition_id").agg(state).select("s.*").where("not coalesce(removed, false)")
         return listed.join(removed, "source_id", "left").select(
-            *[F.col(c) for c in listed.columns if c != "enabled"],
+            *[F.col(c) for c in listed.columns if c not in ("enabled", "seq", "removed")],
             (F.col("enabled") & F.col("_removed").isNull()).alias("enabled"),
         )
 

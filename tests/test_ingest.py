@@ -213,3 +213,40 @@ def test_landed_sources(spark, store, tmp_path):
     register(store, "c", "C", "url", {"url": "https://h.example.com/c", "landed": tsv})
     with pytest.raises(E.UnsupportedMediaType):
         ingest(store, "c")
+
+
+def test_a_broken_write_is_not_in_the_way(spark, tmp_path, monkeypatch):
+    store = Store(spark, str(tmp_path / "store"))
+    register(store, "s1", "S", "manual", {"format": "csv", "payload": "a,b\n1,2\n"})
+    append = Store.append
+    for step in ("columns", "ingest_runs", "datasets"):
+        def broken(self, name, *records, at=step):
+            if name == at:
+                raise OSError("lost")
+            append(self, name, *records)
+
+        monkeypatch.setattr(Store, "append", broken)
+        with pytest.raises(OSError):
+            ingest(store, "s1")
+        monkeypatch.undo()
+    version = ingest(store, "s1", max_bytes=None)
+    assert version.version == 1 and store.read_version("s1", 1).count() == 1
+    assert [c.key for c in store.columns(version.dataset_id)] == ["a", "b"]
+    with pytest.raises(E.PayloadTooLarge):
+        ingest(store, "s1", max_bytes=3)
+
+
+def test_definition_writes_fold(spark, tmp_path):
+    store = Store(spark, str(tmp_path / "store"))
+    store.create_definition("d1", "prices", source_id="s1", fields=["a"])
+    store.update_definition("d1", fields=["a", "b"], enabled=False)
+    (only,) = store.definitions().collect()
+    assert only["fields"] == ["a", "b"] and not only["enabled"] and only["slug"] == "prices"
+    with pytest.raises(E.InvalidState):
+        store.create_definition("d2", "prices")
+    with pytest.raises(E.InvalidState):
+        store.update_definition("d1", slug="other")
+    store.remove_definition("d1")
+    assert store.definitions().count() == 0
+    store.create_definition("d2", "prices")
+    assert store.definitions().count() == 1

@@ -1,6 +1,7 @@
 """The driver contract: registry shape, and a sample of queries beside SQL."""
 
 import os
+import re
 
 import pytest
 
@@ -11,8 +12,10 @@ FOLDER = "/root/testdata/sf0.001"
 
 
 def test_every_query_has_sql():
-    assert set(entry.queries()) == set(entry.oracle_sql())
-    assert len(entry.queries()) > 100
+    # Training-data queries go partly beyond SQL; their own tests hold them.
+    own = {q for q in entry.queries() if q != "pipeline" and not re.match(r"op\d+_", q)}
+    assert own <= set(entry.oracle_sql()) <= set(entry.queries())
+    assert len(own) > 100
 
 
 @pytest.mark.skipif(not os.path.isdir(FOLDER), reason="no test tables")
