@@ -6,7 +6,8 @@ values. Round a probes every segment with all masks of exactly a bits, so that
 after it each code within distance m * (a + 1) - 1 of the query (m segments)
 has been met: farther codes differ by more than a bits in every segment.
 Candidates are verified on whole codes inside the tasks that meet them, and a
-task sends on no more than k per query; a query stops once its k-th verified
+task sends on no more than k per query, none beyond the k-th distance known from
+earlier rounds; a query stops once its k-th verified
 distance is covered, and goes on otherwise. The answer is exact.
 
 Skew. Equal codes are one index entry that carries at most their k smallest
@@ -63,20 +64,20 @@ def _index(classes: DataFrame) -> DataFrame:
 
 
 def _probes(batches: Iterator[pa.RecordBatch], a: int) -> Iterator[pa.RecordBatch]:
-    """(ask, asked, segment, value): each query's segment values under all masks of a bits."""
+    """(ask, asked, bound, segment, value): each query's segment values under all masks of a bits."""
     masks = np.arange(1 << SEGMENT)
     masks = masks[np.bitwise_count(masks) == a]
     for batch in batches:
-        for ask, asked in zip(batch["ask"].to_pylist(), batch["asked"].to_pylist(), strict=True):
+        for ask, asked, bound in zip(*[batch[k].to_pylist() for k in ("ask", "asked", "bound")], strict=True):
             for segment, own in enumerate(asked):
                 n = len(masks)
                 code = pa.ListArray.from_arrays(pa.array(np.arange(n + 1) * len(asked), pa.int32()), pa.array(np.tile(np.array(asked, np.int32), n)))
-                columns = [pa.array(np.full(n, ask)), code, pa.array(np.full(n, segment, np.int32)), pa.array((masks ^ own).astype(np.int32))]
-                yield pa.RecordBatch.from_arrays(columns, ["ask", "asked", "segment", "value"])
+                columns = [pa.array(np.full(n, ask)), code, pa.array(np.full(n, bound)), pa.array(np.full(n, segment, np.int32)), pa.array((masks ^ own).astype(np.int32))]
+                yield pa.RecordBatch.from_arrays(columns, ["ask", "asked", "bound", "segment", "value"])
 
 
 def _verified(batches: Iterator[pa.RecordBatch], k: int, m: int) -> Iterator[pa.RecordBatch]:
-    """Whole-code distances of the codes met; of each query, the k nearest of a batch go on."""
+    """Whole-code distances of the codes met; of each query, a batch's k nearest within its bound go on."""
     for batch in batches:
         held = batch["held"]
         size = np.diff(held.offsets.to_numpy())
@@ -87,7 +88,8 @@ def _verified(batches: Iterator[pa.RecordBatch], k: int, m: int) -> Iterator[pa.
         distance = np.bitwise_count(code ^ asked).sum(1, dtype=np.int64)
         # Ids are ordered nulls first, as Spark orders them.
         rank = pc.rank(least, sort_keys="ascending", null_placement="at_start", tiebreaker="dense").to_numpy().astype(np.int64)
-        order = np.lexsort((cid, rank, distance, ask))
+        near = np.flatnonzero(distance <= np.repeat(batch["bound"].to_numpy(), size))
+        order = near[np.lexsort((cid[near], rank[near], distance[near], ask[near]))]
         fresh = np.ones(len(order), bool)
         fresh[1:] = (ask[order][1:] != ask[order][:-1]) | (cid[order][1:] != cid[order][:-1])
         order = order[fresh]
@@ -117,11 +119,11 @@ def top_k(queries: DataFrame, vectors: DataFrame, k: int = 10) -> DataFrame:
     asked = codes(queries, bits).select(F.col("id").alias("query"), F.col("code").alias("asked")).distinct()
     asked = stage(asked.withColumn("ask", F.monotonically_increasing_id()), "queries")
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    active, best, answers = asked.select("ask", "asked"), None, []
+    active, best, answers = asked.select("ask", "asked", F.lit(bits).cast("bigint").alias("bound")), None, []
     for a in range(SEGMENT + 1):
-        probes = active.repartition(parts, "ask").mapInArrow(partial(_probes, a=a), "ask bigint, asked array<int>, segment int, value int")
+        probes = active.repartition(parts, "ask").mapInArrow(partial(_probes, a=a), "ask bigint, asked array<int>, bound bigint, segment int, value int")
         # Probes outnumber what their size estimate says, so neither side may be broadcast.
-        met = probes.join(index.hint("merge"), ["segment", "value"]).select("ask", "asked", "held")
+        met = probes.join(index.hint("merge"), ["segment", "value"]).select("ask", "asked", "bound", "held")
         found = met.mapInArrow(partial(_verified, k=k, m=m), f"ask bigint, cid bigint, least {kind}, distance bigint")
         if best is not None:
             found = found.unionByName(best)
@@ -132,10 +134,11 @@ def top_k(queries: DataFrame, vectors: DataFrame, k: int = 10) -> DataFrame:
         if covered >= bits:
             answers.append(ranked)
             break
-        closed = ranked.groupBy("ask").agg(F.max("distance").alias("worst"), F.count("*").alias("n"))
-        closed = closed.filter((F.col("n") == k) & (F.col("worst") <= covered)).select("ask")
+        full = ranked.groupBy("ask").agg(F.max("distance").alias("worst"), F.count("*").alias("n")).filter(F.col("n") == k)
+        closed = full.filter(F.col("worst") <= covered).select("ask")
         answers.append(ranked.join(closed, "ask", "left_semi"))
-        active = stage(active.join(closed, "ask", "left_anti"), "active")
+        active = active.join(closed, "ask", "left_anti").join(full, "ask", "left")
+        active = stage(active.select("ask", "asked", F.coalesce("worst", "bound").alias("bound")), "active")
         if active.isEmpty():
             break
         best = found.join(active, "ask", "left_semi")
