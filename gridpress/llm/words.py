@@ -14,7 +14,7 @@ import numpy as np
 import pyarrow as pa
 
 #: Bytes of text handled at a time inside a task; one longer text is one slice.
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 1 << 20
 
 #: Separators of blank-split words: space, tab, line feed to carriage return.
 BLANKS = np.zeros(256, bool)
