@@ -14,12 +14,15 @@ REQUIRED_CONF = {
     "spark.sql.variant.allowDuplicateKeys": "true",
 }
 
+#: Bound on what Spark hands to Python at once: rows of long texts are large.
+BATCH_CONF = {"spark.sql.execution.arrow.maxBytesPerBatch": "8m"}
+
 CHECKPOINT_CONF = "spark.checkpoint.dir"
 
 
 def configure(spark: SparkSession) -> SparkSession:
-    """Apply the result-relevant settings to an existing session."""
-    for key, value in REQUIRED_CONF.items():
+    """Apply the settings above to an existing session."""
+    for key, value in {**REQUIRED_CONF, **BATCH_CONF}.items():
         spark.conf.set(key, value)
     return spark
 
