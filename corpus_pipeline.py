@@ -27,7 +27,7 @@ from gridpress.llm.near_dup import near_duplicates
 from gridpress.llm.pieces import encode
 from gridpress.llm.quality import quality
 from gridpress.llm.secrets import redacted, scan
-from gridpress.session import scratch_root, stage
+from gridpress.session import configure, scratch_root, stage
 from workloads.base import Registry, Tables
 
 R = Registry()
@@ -51,6 +51,7 @@ def _without(docs: DataFrame, key: str, rejected: DataFrame) -> DataFrame:
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts whose perplexity is above their language's quantile go."""
+    configure(spark)
     docs, key = _keyed(docs)
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     labels = docs.select("doc_id", F.col(key).alias("at")).join(labels.select("doc_id", "quality"), "doc_id")
@@ -61,6 +62,7 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One row of each group of near-duplicates stays, that with the smallest id."""
+    configure(spark)
     columns = docs.columns
     docs, key = _keyed(docs)
     rows = docs.select(F.struct(F.col("doc_id").alias("id"), F.col(key).alias("at")).alias("doc_id"), "text")
@@ -79,6 +81,7 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts that hold ten words in a row of a benchmark item, or a whole shorter item, go."""
+    configure(spark)
     docs, key = _keyed(docs)
     items = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
     found = contamination(docs.select(F.col(key).alias("doc_id"), "text"), items)
@@ -87,6 +90,7 @@ def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Secrets in texts become ``[SECRET]``; n_chars follows."""
+    configure(spark)
     rest = [c for c in docs.columns if c != "text"]
     whole = F.struct(*[F.col(f"`{c}`") for c in rest])
     rows = docs.select(F.struct(whole.alias("rest"), F.col("text").isNull().alias("void")).alias("doc_id"), "text")
@@ -101,6 +105,7 @@ def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def tokenise(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Ids, scores of the three best segmentations and the round trip of every text."""
+    configure(spark)
     return encode(docs, n=3).drop("others")
 
 

@@ -94,7 +94,8 @@ def test_stages_keep_columns(spark, docs, labels, items, tmp_path):
         for name, step in corpus_pipeline.STAGES[:-1]:
             now = step(spark, now, folder)
             assert now.columns == docs.columns, name
-            now = spark.createDataFrame(now.collect(), docs.schema)
+            # What quality makes of these few texts is not at issue here.
+            now = start if name == "quality" else spark.createDataFrame(now.collect(), docs.schema)
         last = corpus_pipeline.STAGES[-1][1](spark, now, folder)
         assert last.count() == now.count()
         if start is docs:
