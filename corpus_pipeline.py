@@ -26,7 +26,7 @@ from gridpress.llm.decontaminate import contamination
 from gridpress.llm.near_dup import near_duplicates
 from gridpress.llm.pieces import encode
 from gridpress.llm.quality import quality
-from gridpress.llm.secrets import redacted, scan
+from gridpress.llm.secrets import REMOVED, redacted, scan
 from gridpress.session import configure, scratch_root, stage
 from workloads.base import Registry, Tables
 
@@ -94,7 +94,7 @@ def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     rest = [c for c in docs.columns if c != "text"]
     whole = F.struct(*[F.col(f"`{c}`") for c in rest])
     rows = docs.select(F.struct(whole.alias("rest"), F.col("text").isNull().alias("void")).alias("doc_id"), "text")
-    clean = redacted(scan(rows))
+    clean = redacted(scan(rows, REMOVED))
     text = F.when(~F.col("doc_id.void"), F.col("text"))
     kept = {c: F.col(f"doc_id.rest.`{c}`") for c in rest}
     if "n_chars" in kept:

@@ -14,7 +14,9 @@ documents; Spark broadcasts them only under its own size threshold.
 
 Spans are code points, end exclusive; matches of a kind are leftmost and do
 not overlap, and one that fails its length test is dropped after it has
-consumed its text.
+consumed its text. ``RULES`` find a private key by its BEGIN line, as the SQL
+does; ``REMOVED``, for redaction, covers the block to its END line, or to the
+end of its base64 lines where END is missing.
 
 Edge cases. A null text reads as empty. Repeated rows are answered one by one,
 null ids too. An empty table gives an empty result. Other columns are ignored.
@@ -66,6 +68,22 @@ MORE = (
 )
 RULES = BASE + MORE
 
+#: Line ends within a key block, written out or as escapes, and what a cut block's lines look like.
+_BREAK = r"(?:\s|\\[nr])"
+_KEY_LINES = (
+    rf"(?:{_BREAK}++[A-Za-z][A-Za-z-]*+:[^\r\n]*+)*+"
+    rf"(?:{_BREAK}++[A-Za-z0-9+/]{{40,}}+={{0,2}}+)++"
+    rf"(?:{_BREAK}++[A-Za-z0-9+/]+(?:=+|(?=[\x20\t]*+(?:[\r\n\\]|\Z))))?"
+)
+#: A private key up to its END line; where none follows before another block, its header and base64 lines.
+KEY_BLOCK = (
+    MORE[0].pattern
+    + r"(?:(?:[^-]++|-(?!----(?:BEGIN|END)\x20))*+-----END\x20[A-Z ]{0,40}PRIVATE KEY-----"
+    + rf"|{_KEY_LINES}|)"
+)
+#: What is taken out of texts: ``RULES`` with whole key blocks, where ``op2_secrets`` reports their first lines.
+REMOVED = BASE + (Rule("pem", KEY_BLOCK, 1), *MORE[1:])
+
 
 def _let(value: Column, body: Callable[[Column], Column]) -> Column:
     """``body`` of a value that is computed once."""
