@@ -1,12 +1,18 @@
 """Whole results where a shorter way once gave part of them."""
 
+import os
 import random
 import re
 
+import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from gridpress.llm import secrets, trigrams
+from gridpress.llm import quality, secrets, trigrams
+from gridpress.session import stage
+
+MEDIUM = "/root/testdata/sf0.1"
 
 BEGIN, END = "-----BEGIN RSA PRIVATE KEY-----", "-----END RSA PRIVATE KEY-----"
 
@@ -37,3 +43,18 @@ def test_secrets_stage_removes_whole_keys(spark):
     assert [clean[i] for i in range(len(texts))] == want
     assert trigrams.mandatory(secrets.KEY_BLOCK) == trigrams.mandatory(secrets.MORE[0].pattern)
     assert all(re.search(secrets.KEY_BLOCK, t)[0].startswith(BEGIN) for t in texts)
+
+
+@pytest.mark.skipif(not os.path.isdir(MEDIUM), reason="no test tables")
+def test_quality_rejects_most_labelled_bad_texts(spark):
+    docs, labels = (spark.read.parquet(f"{MEDIUM}/{n}.parquet") for n in ("documents", "labels"))
+    judged = stage(quality.quality(docs, labels).join(labels.groupBy("doc_id").agg(F.min("quality").alias("q")), "doc_id"), "judged")
+    share = {r.q: r.share for r in judged.groupBy("q").agg(F.avg(F.col("kept").cast("int")).alias("share")).collect()}
+    assert share[0] < 0.05 and share[1] > 0.99
+    short = judged.filter("q = 0 and n_tokens < 30").agg(F.avg(F.col("kept").cast("int"))).first()[0]
+    assert short < 0.6
+
+
+def test_repeats_are_counted_within_texts():
+    grams = np.array([5, 5, 7, 5, 7, 5, 5, 5, 9], np.uint64)
+    assert quality._repeats(np.array([0, 4, 5, 9]), grams).tolist() == [2, 0, 2]
