@@ -58,3 +58,9 @@ def test_quality_rejects_most_labelled_bad_texts(spark):
 def test_repeats_are_counted_within_texts():
     grams = np.array([5, 5, 7, 5, 7, 5, 5, 5, 9], np.uint64)
     assert quality._repeats(np.array([0, 4, 5, 9]), grams).tolist() == [2, 0, 2]
+
+
+def test_model_counts_whole_texts(spark):
+    words = [f"w{i}" for i in range(5000)]
+    model = quality.train(spark.createDataFrame([(" ".join(words),)], "text string"))
+    assert len(model.orders[2][0]) == len(words) + 1
