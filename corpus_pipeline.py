@@ -104,9 +104,9 @@ def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def tokenise(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Ids, scores of the three best segmentations and the round trip of every text."""
+    """Ids, the three best segmentations and the round trip of every text."""
     configure(spark)
-    return encode(docs, n=3).drop("others")
+    return encode(docs, n=3)
 
 
 STAGES = [

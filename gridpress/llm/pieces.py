@@ -319,5 +319,5 @@ def decode(encoded: DataFrame, model: str = MODEL) -> DataFrame:
 
 @R.add()
 def op7_sentencepiece(t: Tables) -> DataFrame:
-    """Three best segmentations of all documents."""
-    return encode(t.documents, with_ids=False)
+    """Three best segmentations of all documents, with their ids."""
+    return encode(t.documents)

@@ -8,11 +8,12 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+import __spark_entry__ as entry
 import corpus_pipeline
-from gridpress.llm import quality, secrets, trigrams
+from gridpress.llm import pieces, quality, secrets, trigrams
 from gridpress.session import stage
 
-MEDIUM = "/root/testdata/sf0.1"
+TINY, MEDIUM = "/root/testdata/sf0.001", "/root/testdata/sf0.1"
 
 BEGIN, END = "-----BEGIN RSA PRIVATE KEY-----", "-----END RSA PRIVATE KEY-----"
 
@@ -64,3 +65,18 @@ def test_model_counts_whole_texts(spark):
     words = [f"w{i}" for i in range(5000)]
     model = quality.train(spark.createDataFrame([(" ".join(words),)], "text string"))
     assert len(model.orders[2][0]) == len(words) + 1
+
+
+@pytest.mark.skipif(not os.path.isdir(TINY), reason="no test tables")
+def test_pieces_are_returned_with_their_alternatives(spark):
+    docs = spark.read.parquet(f"{TINY}/documents.parquet")
+    found = stage(entry.queries()["op7_sentencepiece"](spark, TINY), "found")
+    assert {"ids", "others"} <= set(found.columns)
+    assert "others" in corpus_pipeline.tokenise(spark, docs, TINY).columns
+    with open(pieces.MODEL, "rb") as f:
+        v = pieces.Vocabulary(f.read())
+    plain = {r.doc_id: v.model.normalize(r.text or "").replace(pieces.MARK, " ").removeprefix(" ") for r in docs.collect()}
+    read = {r.doc_id: r.text for r in pieces.decode(found).collect()}
+    assert all(read[r.doc_id] == plain[r.doc_id] for r in found.collect() if r.round_trip)
+    for r in found.collect():
+        assert len(r.ids) == r.n_tokens and [o.score for o in r.others] == r.nbest_scores[1:]
