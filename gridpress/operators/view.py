@@ -248,6 +248,10 @@ def order_columns(sort: tuple[SortRule, ...], tie_break: list[str]) -> list[C]:
     return keys + [F.col(t).asc_nulls_last() for t in tie_break]
 
 
+#: Spark's offsets and limits are 32-bit numbers.
+MAX_OFFSET = 2**31 - 1
+
+
 def deep_page(df: DataFrame, order: list[C], offset: int, limit: int) -> DataFrame:
     """Rows ``offset..offset+limit`` of a total order, at any depth.
 
@@ -291,8 +295,13 @@ class View:
 
     @property
     def page(self) -> DataFrame:
-        """The page asked for, as a sort with an offset and a limit."""
+        """The page asked for, as a sort with an offset and a limit.
+
+        Beyond the row numbers that an offset can name, counted parts find it.
+        """
         r = self.request
+        if r.offset + r.limit > MAX_OFFSET:
+            return self.deep_page()
         return self.filtered.orderBy(*self.order).offset(r.offset).limit(r.limit).select(*self.projection)
 
     def deep_page(self) -> DataFrame:

@@ -2,6 +2,9 @@
 
 import os
 import re
+import shutil
+import subprocess
+import sys
 
 import pytest
 
@@ -26,3 +29,20 @@ def test_every_query_has_sql():
 def test_sample_against_sql(spark, name):
     ok, note = compare(spark, duck(FOLDER), FOLDER, entry.queries()[name], entry.oracle_sql()[name])
     assert ok, note
+
+
+LIST = "import __spark_entry__ as e; q = e.queries(); s = e.oracle_sql(); print(len(q), sorted(set(q) ^ set(s)), any(n.startswith('op') for n in q))"
+
+
+@pytest.mark.parametrize("gone", [("gridpress/llm", "tests/llm", "corpus_pipeline.py"), ("gridpress/llm", "tests/llm"), ()])
+def test_registry_without_the_training_package(tmp_path, gone):
+    """The other queries stay listed when the folders, or a library they need, are missing."""
+    root = os.path.dirname(os.path.abspath(entry.__file__))
+    copy = tmp_path / "repo"
+    away = {os.path.join(root, g) for g in gone} | {os.path.join(root, ".git")}
+    shutil.copytree(root, copy, ignore=lambda d, names: [n for n in names if os.path.join(d, n) in away or n == "__pycache__"])
+    if not gone:
+        (copy / "ahocorasick.py").write_text("raise ImportError('not installed')\n")
+    run = subprocess.run([sys.executable, "-c", LIST], cwd=copy, capture_output=True, text=True, check=True)
+    own = [q for q in entry.queries() if q != "pipeline" and not re.match(r"op\d+_", q)]
+    assert run.stdout.split() == [str(len(own)), "[]", "False"], run.stderr

@@ -95,6 +95,13 @@ def test_deep_pages_agree_with_shallow_ones(spark, rows):
         assert asked.deep_page().collect() == asked.page.collect()
 
 
+def test_pages_beyond_32_bit_offsets_are_empty(spark):
+    df = spark.range(50).withColumnRenamed("id", "_row").selectExpr("_row", "_row % 3 AS k")
+    asked = V.view(df, Definition("v", sort=(SortRule("k"),)), {"sort": "k", "page": "1000000000", "limit": "500"})
+    assert asked.page.columns == ["k"] and asked.page.collect() == []
+    assert asked.stats.first().asDict() == {"total": 50, "count": 0, "page": 10**9, "limit": 500, "pages": 1}
+
+
 def test_projection(rows):
     definition = Definition("v", fields=("note", "code"))
     assert V.view(rows, definition, {}, COLUMNS).page.columns == ["note", "code"]
