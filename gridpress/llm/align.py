@@ -30,6 +30,7 @@ import json
 import re
 from collections.abc import Iterator
 from functools import partial
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -99,11 +100,13 @@ class Aligner:
         self.sizes.clear()
         self.shown = []
 
-    def encoded(self, texts: list[str]) -> tuple[list[list[int]], list[list[int]]]:
-        """Tokens of texts that begin with a space."""
+    def encoded(self, texts: list[str]) -> list[tuple[np.ndarray, np.ndarray]]:
+        """(ids joined, how many are each text's) of A and of B, for stretches that begin with a space."""
         b = self.b.encode([t[1:] for t in texts], num_threads=1)
         # The model adds its space to all but the empty text.
-        return self.a.encode_each(texts), [x if len(t) > 1 else [self.space] for t, x in zip(texts, b, strict=True)]
+        b = [x if len(t) > 1 else [self.space] for t, x in zip(texts, b, strict=True)]
+        counts = np.fromiter(map(len, b), np.int64, len(b))
+        return [self.a.encode_each(texts), (np.fromiter(chain.from_iterable(b), np.int64, int(counts.sum())), counts)]
 
     @staticmethod
     def _given_back(flat: np.ndarray, counts: np.ndarray, sizes, start, raw, lengths: np.ndarray, joined: np.ndarray) -> np.ndarray:
@@ -122,11 +125,10 @@ class Aligner:
         return fits
 
     def _learn(self, new: list[str]) -> None:
-        a, b = self.encoded(new)
+        (a, n_a), (b, n_b) = self.encoded(new)
         raw = [s.encode() for s in new]
         lengths, joined = np.array([len(r) for r in raw]), np.frombuffer(b"".join(raw), np.uint8)
-        flat = [np.fromiter((i for x in side for i in x), np.int64) for side in (a, b)]
-        counts = [np.array([len(x) for x in side]) for side in (a, b)]
+        flat, counts = [a.astype(np.int64), b], [n_a, n_b]
         same = self._given_back(flat[0], counts[0], self.a.sizes, self.a.start, self.a.bytes, lengths, joined)
         same &= self._given_back(flat[1], counts[1], self.b_sizes, self.b_start, self.b_bytes, lengths, joined)
         # Tokens of the stretches that hold, on one line of bytes.
@@ -149,20 +151,17 @@ class Aligner:
         last = np.searchsorted(ends[0], edge)
         upto = (group[0][last] + 1).tolist()
         linked = np.searchsorted(ends[0][x[together]], edge, "right")
-        at, k, before, codes = 0, 0, 0, []
+        at, k = 0, 0
         for holds in same.tolist():
-            if not holds:
-                self.shown.append(None)
-                codes.append(code[:0])
-                continue
-            self.shown.append(";".join(shown[at : upto[k]]))
-            codes.append(code[before : linked[k]])
-            at, before, k = upto[k], linked[k], k + 1
-        self.links.add(codes)
-        many = np.diff(np.concatenate([[0], upto])) if upto else np.zeros(0, np.int64)
+            self.shown.append(";".join(shown[at : upto[k]]) if holds else None)
+            if holds:
+                at, k = upto[k], k + 1
         three = np.zeros((len(new), 3), np.int64)
-        three[same] = np.stack([counts[0][same], counts[1][same], many], 1)
-        self.sizes.add(list(three))
+        three[same] = np.stack([counts[0][same], counts[1][same], np.diff(upto, prepend=0)], 1)
+        self.sizes.add(three.ravel(), np.full(len(new), 3))
+        each = np.zeros(len(new), np.int64)
+        each[same] = np.diff(linked, prepend=0)
+        self.links.add(code, each)
 
     def align(self, text: str) -> tuple[np.ndarray, str, np.ndarray] | None:
         """((n_a, n_b, n_groups), digest, link codes); None where the tokens do not give the text back."""
@@ -218,8 +217,8 @@ def _pairs(batches: Iterator[pa.RecordBatch], given) -> Iterator[pa.RecordBatch]
             pairs: list = []
             base, first = 0, 0
             for run in runs(" " + text) if text else ():
-                (a,), (b,) = aligner.encoded([run])
-                ends = [np.cumsum(s[np.array(x)]) for s, x in ((aligner.a.sizes, a), (aligner.b_sizes, b))]
+                (a, _), (b, _) = aligner.encoded([run])
+                ends = [np.cumsum(aligner.a.sizes[a]), np.cumsum(aligner.b_sizes[b])]
                 if b"".join([aligner.b_bytes[aligner.b_start[i] : aligner.b_start[i + 1]].tobytes() for i in b]) != run.encode():
                     pairs = []
                     break

@@ -4,8 +4,9 @@ Method. The driver turns a rank file into a tokenizer of the library: ids are
 ranks, and a token's merge is the pair that is left when its own bytes are
 merged by rank until two parts remain. No other pair can ever become that
 token inside a text, as merges within its bytes come in the same order there;
-so merging by these pairs equals merging by rank. Tasks encode the distinct
-stretches of their Arrow batches (``stretches``), each by the split pattern.
+so merging by these pairs equals merging by rank. Tasks take the distinct
+stretches of their Arrow batches (``stretches``), split each by the pattern,
+map its bytes to the library's characters and let the library merge them.
 Byte lengths of tokens give byte offsets, and a count of first bytes maps them
 to code points of the original; a token that holds part of a character has
 that character in its span. Decoding maps token characters back to bytes by
@@ -31,17 +32,21 @@ from functools import lru_cache, partial
 
 import numpy as np
 import pyarrow as pa
+import regex
 import tokenizers
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from tokenizers import models, pre_tokenizers
+from tokenizers import models
 
 from gridpress.llm.stretches import Known, Lists, row_runs, runs
-from gridpress.llm.token_counts import PATTERN, RANKS, spans
 from workloads.base import Registry, Tables
 
 R = Registry()
 
+RANKS = "/opt/tokenizers/byte_bpe_50k.tiktoken"
+#: Fixed value: the split pattern that belongs to the vocabulary.
+PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+
 
 def byte_characters() -> list[str]:
     """The character that stands for each byte: itself where it prints, else one from U+0100 on."""
@@ -64,7 +69,7 @@ def merge_of(token: bytes, ranks: dict[bytes, int]) -> tuple[bytes, bytes] | Non
 
 
 @lru_cache(maxsize=4)
-def tokenizer_of(ranks_path: str, pattern: str) -> str:
+def tokenizer_of(ranks_path: str) -> str:
     """The library's description of a tokenizer with the ranks of a file as ids."""
     with open(ranks_path, "rb") as f:
         ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, filter(None, f.read().splitlines()))}
@@ -73,19 +78,18 @@ def tokenizer_of(ranks_path: str, pattern: str) -> str:
     pairs = [merge_of(t, ranks) for t in sorted(ranks, key=ranks.get) if len(t) > 1]
     # A match that is a token as it stands is that token, whatever its merges.
     model = models.BPE(vocab={name(t): i for t, i in ranks.items()}, merges=[(name(a), name(b)) for a, b in filter(None, pairs)], ignore_merges=True)
-    made = tokenizers.Tokenizer(model)
-    split = pre_tokenizers.Split(tokenizers.Regex(pattern), "isolated")
-    made.pre_tokenizer = pre_tokenizers.Sequence([split, pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
-    return made.to_str()
+    return tokenizers.Tokenizer(model).to_str()
 
 
 class Vocabulary:
     """A tokenizer, the bytes of its tokens, and the stretches that a task knows."""
 
-    def __init__(self, description: str) -> None:
+    def __init__(self, description: str, pattern: str = PATTERN) -> None:
         self.tokenizer = tokenizers.Tokenizer.from_str(description)
-        self.tokenizer.encode_special_tokens = True
-        byte = {c: b for b, c in enumerate(byte_characters())}
+        self.split = regex.compile(pattern).findall
+        self.shown = dict(enumerate(byte_characters()))
+        self.mark = self.shown[0xFF]
+        byte = {c: b for b, c in self.shown.items()}
         vocab = self.tokenizer.get_vocab(with_added_tokens=False)
         pieces = [b""] * (max(vocab.values(), default=-1) + 1)
         for text, i in vocab.items():
@@ -96,11 +100,18 @@ class Vocabulary:
         self.ids = Lists()
         self.known = Known(self._learn, self.ids.clear)
 
-    def encode_each(self, texts: list[str]) -> list[list[int]]:
-        return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+    def encode_each(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of some stretches joined, how many are each one's)."""
+        parts = [m for t in texts for m in self.split(t)]
+        # One pass maps the bytes of all matches; 0xFF is in no UTF-8 text, so it can mark where they meet.
+        shown = b"\xff".join([m.encode() for m in parts]).decode("latin-1").translate(self.shown).split(self.mark)
+        tokenize = self.tokenizer.model.tokenize
+        flat = np.array([x.id for m in shown if m for x in tokenize(m)], np.int32)
+        lengths = np.array([len(t) if t.isascii() else len(t.encode()) for t in texts])
+        return flat, np.diff(np.searchsorted(np.cumsum(self.sizes[flat]), np.cumsum(lengths), "right"), prepend=0)
 
     def _learn(self, new: list[str]) -> None:
-        self.ids.add(self.encode_each(new))
+        self.ids.add(*self.encode_each(new))
 
     def encode(self, text: str) -> np.ndarray:
         parts = []
@@ -116,15 +127,33 @@ class Vocabulary:
         return self.bytes[np.repeat(self.start[ids] - (end - size), size) + np.arange(int(end[-1]) if len(end) else 0)].tobytes()
 
 
-_loaded: dict[str, Vocabulary] = {}
+_loaded: dict[tuple[str, str], Vocabulary] = {}
 
 
-def vocabulary(description: str) -> Vocabulary:
-    """A task's vocabulary, built once for each worker."""
-    if description not in _loaded:
+def vocabulary(given: tuple[str, str]) -> Vocabulary:
+    """A task's vocabulary of a description and a pattern, built once for each worker."""
+    if given not in _loaded:
         _loaded.clear()
-        _loaded[description] = Vocabulary(description)
-    return _loaded[description]
+        _loaded[given] = Vocabulary(*given)
+    return _loaded[given]
+
+
+def shared(spark: SparkSession, ranks: str, pattern: str):
+    """What ``vocabulary`` takes, for all tasks: one vocabulary file's size."""
+    return spark.sparkContext.broadcast((tokenizer_of(ranks), pattern))
+
+
+def spans(text: str, ids: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Code point (start, end) of each token."""
+    if not len(ids):
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    end = np.cumsum(sizes[ids])
+    start = end - sizes[ids]
+    if text.isascii():
+        return start, end
+    # The code point that holds each byte, counted by first bytes.
+    point = np.cumsum((np.frombuffer(text.encode(), np.uint8) & 0xC0) != 0x80) - 1
+    return point[start], point[end - 1] + 1
 
 
 def _lists(parts: list[np.ndarray]) -> pa.Array:
@@ -133,29 +162,34 @@ def _lists(parts: list[np.ndarray]) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(flat.astype(np.int32), pa.int32()))
 
 
-def _encode(batches: Iterator[pa.RecordBatch], description) -> Iterator[pa.RecordBatch]:
-    v = vocabulary(description.value)
+def _encode(batches: Iterator[pa.RecordBatch], given) -> Iterator[pa.RecordBatch]:
+    v = vocabulary(given.value)
     for batch in batches:
         for row, texts in row_runs(batch["text"]):
             columns: tuple[list, ...] = ([], [], [])
+            split = []
             for text in texts:
                 ids = v.encode(text)
-                for column, part in zip(columns, (ids, *spans(text, ids, v.sizes)), strict=True):
+                start, end = spans(text, ids, v.sizes)
+                for column, part in zip(columns, (ids, start, end), strict=True):
                     column.append(part)
-            arrays = [batch["doc_id"].slice(row, len(texts)), *map(_lists, columns)]
-            yield pa.RecordBatch.from_arrays(arrays, ["doc_id", "ids", "starts", "ends"])
+                split.append(int((start[1:] < end[:-1]).sum()))
+            arrays = [batch["doc_id"].slice(row, len(texts)), *map(_lists, columns), pa.array(split, pa.int64())]
+            yield pa.RecordBatch.from_arrays(arrays, ["doc_id", "ids", "starts", "ends", "n_split"])
 
 
 def encode(docs: DataFrame, ranks: str = RANKS, pattern: str = PATTERN) -> DataFrame:
-    """doc_id, ids, and the code point spans (starts, ends) of the tokens, for each row of ``docs`` (doc_id, text)."""
-    description = docs.sparkSession.sparkContext.broadcast(tokenizer_of(ranks, pattern))  # the vocabulary's size
+    """doc_id, ids, code point spans (starts, ends) and n_split for each row of ``docs`` (doc_id, text).
+
+    ``n_split`` counts the tokens that begin inside a character.
+    """
     kind = docs.schema["doc_id"].dataType.simpleString()
-    schema = f"doc_id {kind}, ids array<int>, starts array<int>, ends array<int>"
-    return docs.select("doc_id", "text").mapInArrow(partial(_encode, description=description), schema)
+    schema = f"doc_id {kind}, ids array<int>, starts array<int>, ends array<int>, n_split bigint"
+    return docs.select("doc_id", "text").mapInArrow(partial(_encode, given=shared(docs.sparkSession, ranks, pattern)), schema)
 
 
-def _decode(batches: Iterator[pa.RecordBatch], description) -> Iterator[pa.RecordBatch]:
-    v = vocabulary(description.value)
+def _decode(batches: Iterator[pa.RecordBatch], given) -> Iterator[pa.RecordBatch]:
+    v = vocabulary(given.value)
     for batch in batches:
         lists = batch["ids"]
         flat, bounds = lists.values.fill_null(-1).to_numpy(zero_copy_only=False), lists.offsets.to_numpy()
@@ -167,9 +201,8 @@ def _decode(batches: Iterator[pa.RecordBatch], description) -> Iterator[pa.Recor
 
 def decode(encoded: DataFrame, ranks: str = RANKS, pattern: str = PATTERN) -> DataFrame:
     """``encoded`` (ids and any other columns) with ``decoded``, the bytes of its tokens."""
-    description = encoded.sparkSession.sparkContext.broadcast(tokenizer_of(ranks, pattern))
     schema = encoded.drop("decoded").schema.add("decoded", "binary")
-    return encoded.drop("decoded").mapInArrow(partial(_decode, description=description), schema)
+    return encoded.drop("decoded").mapInArrow(partial(_decode, given=shared(encoded.sparkSession, ranks, pattern)), schema)
 
 
 def text_of(raw: bytes) -> str:
@@ -179,12 +212,9 @@ def text_of(raw: bytes) -> str:
 
 @R.add()
 def op12_byte_bpe(t: Tables) -> DataFrame:
-    """All documents encoded and decoded again; ``n_split`` counts tokens that begin inside a character."""
+    """All documents encoded and decoded again."""
     ids = F.array_join(F.col("ids").cast("array<string>"), " ")
-    later = F.slice("starts", F.lit(2), F.greatest(F.size("starts") - 1, F.lit(0)))
-    split = F.arrays_zip(F.slice("ends", F.lit(1), F.greatest(F.size("ends") - 1, F.lit(0))).alias("end"), later.alias("start"))
     found = decode(encode(t.documents))
     return found.select(
-        "doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(ids, 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"),
-        F.size(F.filter(split, lambda x: x["start"] < x["end"])).cast("long").alias("n_split"),
+        "doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(ids, 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"), "n_split"
     )

@@ -10,7 +10,7 @@ first time it meets it.
 from __future__ import annotations
 
 import re
-from collections.abc import Callable, Iterator, Sequence
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -45,29 +45,41 @@ def row_runs(column: pa.Array, limit: int = RUN_CHARS) -> Iterator[tuple[int, li
         yield first, held
 
 
+class _Numbers(dict):
+    """Numbers of stretches in order of their first meeting; ``new`` lists those met since it was last emptied."""
+
+    def __init__(self) -> None:
+        self.new: list[str] = []
+
+    def __missing__(self, stretch: str) -> int:
+        self.new.append(stretch)
+        self[stretch] = n = len(self)
+        return n
+
+
 class Known:
     """Numbers of the distinct stretches met; ``learn`` is handed the new ones of a run, in order."""
 
     def __init__(self, learn: Callable[[list[str]], None], forget: Callable[[], None]) -> None:
         self.learn, self.forget = learn, forget
-        self.number: dict[str, int] = {}
+        self.number = _Numbers()
         self.chars = 0
 
     def trim(self) -> None:
         """Forget all if too much is known; numbers given before are then void."""
         if len(self.number) > KNOWN or self.chars > KNOWN_CHARS:
-            self.number.clear()
+            self.number = _Numbers()
             self.chars = 0
             self.forget()
 
     def numbers(self, run: str) -> np.ndarray:
         found = CUT.split(run)
-        new = list({s: None for s in found if s not in self.number})
-        if new:
-            self.number.update(zip(new, range(len(self.number), len(self.number) + len(new)), strict=True))
+        out = np.fromiter(map(self.number.__getitem__, found), np.int64, len(found))
+        if self.number.new:
+            new, self.number.new = self.number.new, []
             self.chars += sum(map(len, new))
             self.learn(new)
-        return np.fromiter(map(self.number.__getitem__, found), np.int64, len(found))
+        return out
 
 
 class Lists:
@@ -80,24 +92,22 @@ class Lists:
     def clear(self) -> None:
         self.flat, self.start, self.n = np.empty(1 << 10, self.kind), np.zeros(1 << 10, np.int64), 0
 
-    def add(self, lists: Sequence[Sequence[int]]) -> None:
-        sizes = np.fromiter(map(len, lists), np.int64, len(lists))
-        used, after = int(self.start[self.n]), self.n + len(lists)
-        total = used + int(sizes.sum())
+    def add(self, flat: np.ndarray, sizes: np.ndarray) -> None:
+        """Lists of these sizes, joined."""
+        used, after = int(self.start[self.n]), self.n + len(sizes)
+        total = used + len(flat)
         if total > len(self.flat):
             self.flat = np.concatenate([self.flat[:used], np.empty(2 * total - used, self.kind)])
         if after >= len(self.start):
             self.start = np.concatenate([self.start, np.zeros(2 * after, np.int64)])
-        self.flat[used:total] = np.concatenate([np.asarray(x, self.kind) for x in lists]) if total > used else []
+        self.flat[used:total] = flat
         self.start[self.n + 1 : after + 1] = used + np.cumsum(sizes)
         self.n = after
 
-    def sizes(self, numbers: np.ndarray) -> np.ndarray:
-        return self.start[numbers + 1] - self.start[numbers]
-
     def take(self, numbers: np.ndarray) -> np.ndarray:
         """The lists of some stretches, joined."""
-        size = self.sizes(numbers)
+        first = self.start[numbers]
+        size = self.start[numbers + 1] - first
         end = np.cumsum(size)
         total = int(end[-1]) if len(end) else 0
-        return self.flat[np.repeat(self.start[numbers] - (end - size), size) + np.arange(total)]
+        return self.flat[np.repeat(first - (end - size), size) + np.arange(total)]

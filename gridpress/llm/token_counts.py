@@ -10,7 +10,9 @@ thus counted once per level of sections, by that rule alone.
 Sections are code point intervals, end exclusive; they may nest, overlap or
 leave gaps. Tokens whose anchor is in no section are counted as outside.
 
-Edge cases. A null or empty text has no tokens; its sections count 0. Null
+Edge cases. Very long texts, and runs of one kind of character of any length,
+are encoded whole. Of tokens and sections with equal bounds each counts. An
+empty table gives an empty result. A null or empty text has no tokens; its sections count 0. Null
 sections are none; a null bound or an empty interval counts 0; bounds beyond
 the text are cut. A token that is part of a character has that character as
 its span. Repeated rows and null ids are answered row by row. Other columns
@@ -19,49 +21,18 @@ are ignored.
 
 from __future__ import annotations
 
-import base64
 from collections.abc import Iterator
 from functools import partial
 
 import numpy as np
 import pyarrow as pa
-import tiktoken
 from pyspark.sql import DataFrame
 
+from gridpress.llm.bpe import PATTERN, RANKS, shared, spans, vocabulary
 from workloads.base import Registry, Tables
 
 R = Registry()
 
-RANKS = "/opt/tokenizers/byte_bpe_50k.tiktoken"
-#: Fixed value: the split pattern that belongs to the vocabulary.
-PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-
-_loaded: dict[int, tuple] = {}
-
-
-def _encoding(raw: bytes, pattern: str):
-    key = hash((raw, pattern))
-    if key not in _loaded:
-        ranks = {base64.b64decode(a): int(b) for a, b in (line.split() for line in raw.splitlines() if line)}
-        sizes = np.zeros(max(ranks.values()) + 1, np.int64)
-        for piece, i in ranks.items():
-            sizes[i] = len(piece)
-        _loaded.clear()
-        _loaded[key] = tiktoken.Encoding("vocabulary", pat_str=pattern, mergeable_ranks=ranks, special_tokens={}), sizes
-    return _loaded[key]
-
-
-def spans(text: str, ids: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Code point (start, end) of each token."""
-    end = np.cumsum(sizes[ids])
-    start = end - sizes[ids]
-    if text.isascii():
-        return start, end
-    # The code point that holds each byte, counted by first bytes.
-    point = np.cumsum((np.frombuffer(text.encode(), np.uint8) & 0xC0) != 0x80) - 1
-    return point[start], point[end - 1] + 1
-
-
 def anchors(start: np.ndarray, end: np.ndarray, rule: str) -> np.ndarray:
     return {"start": start, "last": end - 1, "middle": (start + end - 1) // 2}[rule]
 
@@ -81,15 +52,15 @@ def _bounds(sections: list[dict]) -> np.ndarray:
     return np.array(pairs, np.int64).reshape(-1, 2).T
 
 
-def _count(batches: Iterator[pa.RecordBatch], vocabulary, pattern: str, rule: str) -> Iterator[pa.RecordBatch]:
-    encoding, sizes = _encoding(vocabulary.value, pattern)
+def _count(batches: Iterator[pa.RecordBatch], given, rule: str) -> Iterator[pa.RecordBatch]:
+    v = vocabulary(given.value)
     for batch in batches:
         rows = []
         given = batch["sections"] if "sections" in batch.schema.names else [None] * batch.num_rows
         for text, sections in zip(batch["text"], given, strict=True):
             text = text.as_py() or ""
-            ids = np.array(encoding.encode_ordinary(text), np.int64)
-            start, end = spans(text, ids, sizes) if len(ids) else (ids, ids)
+            ids = v.encode(text)
+            start, end = spans(text, ids, v.sizes)
             low, high = paragraphs(text) if sections is None else _bounds(sections.as_py() or [])
             held, outside = counts(anchors(start, end, rule), low, high)
             edges = np.unique(np.concatenate([low[high > low], high[high > low]]))
@@ -108,12 +79,10 @@ def token_counts(docs: DataFrame, rule: str = "start", by_paragraph: bool = Fals
     Columns: doc_id, n_tokens, n_crossing (tokens over a section's bound),
     n_outside and section_tokens, in the order of the sections.
     """
-    with open(ranks, "rb") as f:
-        vocabulary = docs.sparkSession.sparkContext.broadcast(f.read())
     kind = docs.schema["doc_id"].dataType.simpleString()
     schema = f"doc_id {kind}, n_tokens bigint, n_crossing bigint, n_outside bigint, section_tokens array<bigint>"
     rows = docs.select("doc_id", "text", *([] if by_paragraph else ["sections"]))
-    return rows.mapInArrow(partial(_count, vocabulary=vocabulary, pattern=pattern, rule=rule), schema)
+    return rows.mapInArrow(partial(_count, given=shared(docs.sparkSession, ranks, pattern), rule=rule), schema)
 
 
 def paragraphs(text: str) -> tuple[np.ndarray, np.ndarray]:
