@@ -168,6 +168,23 @@ def csv_table(t: Tables) -> DataFrame:
     return table.rows.select(ROW, key.alias("key"), name.alias("name"), bal.alias("bal"))
 
 
+LETTERS = """SELECT CAST(row_number() OVER (ORDER BY c_custkey) - 1 AS BIGINT) AS _row, c_custkey,
+  'Dear "' || c_name || '",' || chr(10) || chr(10) || 'yours, ' || c_mktsegment || chr(10) AS note, c_acctbal FROM customer"""
+
+
+@R.add(f"SELECT _row, CAST(c_custkey AS VARCHAR) AS key, note, CAST(c_acctbal AS VARCHAR) AS bal FROM ({LETTERS})")
+def csv_multiline(t: Tables) -> DataFrame:
+    """Cells with quotes, delimiters and line breaks inside them."""
+    path = f"{scratch_root(t.spark)}/gridpress/text-{uuid.uuid4().hex}"
+    note = F.concat(F.lit('Dear "'), "c_name", F.lit('",\n\nyours, '), "c_mktsegment", F.lit("\n"))
+    rows = t.customer.select("c_custkey", note.alias("note"), "c_acctbal")
+    sorted_rows = rows.repartitionByRange(4, "c_custkey").sortWithinPartitions("c_custkey")
+    sorted_rows.write.options(header=True, escape='"', ignoreTrailingWhiteSpace=False).csv(path)
+    table = read_delimited(t.spark, path, multi_line=True)
+    key, note, bal = table.cells
+    return table.rows.select(ROW, key.alias("key"), note.alias("note"), bal.alias("bal"))
+
+
 RAGGED = """SELECT c_custkey, CAST(row_number() OVER (ORDER BY c_custkey) - 1 AS BIGINT) AS r,
   CASE WHEN c_custkey % 10 = 0 THEN 2 ELSE 3 END AS n FROM customer"""
 
