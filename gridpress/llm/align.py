@@ -43,7 +43,7 @@ from pyspark.sql import Window as W
 from gridpress.llm import bpe
 from gridpress.llm.pieces import MARK, MODEL
 from gridpress.llm.stretches import Known, Lists, runs
-from gridpress.llm.sums import opened, postings, summed
+from gridpress.llm.sums import BLOCK_ROWS, opened, postings, summed
 from gridpress.session import stage
 from workloads.base import Registry, Tables
 
@@ -282,7 +282,7 @@ def _blocks(batches: Iterator[pa.RecordBatch], given) -> Iterator[pa.RecordBatch
                 rows.append((*total.tolist(), len(links), digest))
                 codes.append(links)
             chars += len(text or "")
-            if chars >= BLOCK_CHARS or len(rows) >= 1 << 16:
+            if chars >= BLOCK_CHARS or len(rows) >= BLOCK_ROWS:
                 yield from flush()
                 ids, rows, codes, chars, number = [], [], [], 0, number + 1
     if rows:

@@ -27,6 +27,8 @@ from gridpress.llm.words import mix
 
 SHARD_BITS = 6
 PART_BLOCKS = 512
+#: Documents that a block may have: their places are 16-bit numbers.
+BLOCK_ROWS = 1 << 16
 #: Posting rows, beside any columns of the documents themselves.
 POSTINGS = "block bigint, shard int, posting binary"
 
@@ -57,7 +59,7 @@ def postings(keys: np.ndarray, docs: np.ndarray, size: int) -> list[tuple[int, b
     for s in np.flatnonzero(np.diff(bound)):
         k, e = slice(bound[s], bound[s + 1]), slice(entry[s], entry[s + 1])
         head_ = np.array([size, k.stop - k.start, e.stop - e.start], np.uint64)
-        raw = b"".join(x.tobytes() for x in (head_, distinct[k], per_key[k], doc[e].astype(np.uint32), n[e]))
+        raw = b"".join(x.tobytes() for x in (head_, distinct[k], per_key[k], n[e], doc[e].astype(np.uint16)))
         out.append((int(s), zip_(raw)))
     return out
 
@@ -67,8 +69,8 @@ def opened(posting: bytes) -> tuple[int, np.ndarray, np.ndarray, np.ndarray, np.
     raw = zstandard.ZstdDecompressor().decompress(posting)
     size, k, e = (int(x) for x in np.frombuffer(raw, np.uint64, 3))
     keys = np.frombuffer(raw, np.uint64, k, 24)
-    small = np.frombuffer(raw, np.uint32, k + 2 * e, 24 + 8 * k)
-    return size, keys, small[:k], small[k : k + e], small[k + e :]
+    small = np.frombuffer(raw, np.uint32, k + e, 24 + 8 * k)
+    return size, keys, small[:k], np.frombuffer(raw, np.uint16, e, 24 + 12 * k + 4 * e), small[k:]
 
 
 def _sharded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

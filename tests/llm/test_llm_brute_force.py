@@ -219,13 +219,16 @@ def kneser_ney(texts):
 def test_kneser_ney_against_dictionaries(spark):
     rng = random.Random(2)
     texts = [[f"w{int(rng.paretovariate(0.7)) % 40}" for _ in range(rng.randrange(1, 30))] for _ in range(120)]
-    model = quality.train(spark.createDataFrame([(" ".join(t),) for t in texts[:100]], "text string"))
+    model, unknown = quality.train(spark.createDataFrame([(" ".join(t),) for t in texts[:100]], "text string"))
     p = kneser_ney(texts[:100])
-    for t in texts[95:] + [["new", "w1", "new", "w2", "w3"]]:
-        grams = next(quality._grams(pa.array([" ".join(t)])))[2:]
+    asked = [*texts[80:], ["new", "w1", "new", "w2", "w3"], [], texts[0] * 300]
+    docs = spark.createDataFrame([(i, " ".join(t), "en") for i, t in enumerate(asked)], "doc_id bigint, text string, lang string").repartition(3)
+    got = {r.doc_id: r for r in quality.perplexities(docs, model, unknown).collect()}
+    assert len(got) == len(asked)
+    for i, t in enumerate(asked):
         t = ["<s>", "<s>", *t, "</s>"]
-        want = [math.log(p(*g)) for g in zip(t, t[1:], t[2:])]
-        assert model.log_p(*grams) == pytest.approx(want, rel=1e-4, abs=1e-4)
+        want = sum(math.log(p(*g)) for g in zip(t, t[1:], t[2:]))
+        assert got[i].log_p == pytest.approx(want, rel=1e-9) and got[i].n_tokens == len(t) - 2
 
 
 @tables

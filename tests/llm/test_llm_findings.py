@@ -46,6 +46,15 @@ def test_secrets_stage_removes_whole_keys(spark):
     assert all(re.search(secrets.KEY_BLOCK, t)[0].startswith(BEGIN) for t in texts)
 
 
+@pytest.mark.skipif(not os.path.isdir(MEDIUM), reason="no test tables")
+def test_quality_on_labels_that_set_no_limit(spark):
+    docs, labels = (spark.read.parquet(f"{MEDIUM}/{n}.parquet") for n in ("documents", "labels"))
+    half = F.pmod(F.xxhash64(F.lit("half"), "doc_id"), F.lit(2)) == 0
+    judged = stage(quality.quality(docs, labels.filter(half)), "half").join(labels.filter(~half), "doc_id")
+    share = {r.quality: r.share for r in judged.groupBy("quality").agg(F.avg(F.col("kept").cast("int")).alias("share")).collect()}
+    assert share[0] < 0.1 and share[1] > 0.98
+
+
 @pytest.mark.skipif(not os.path.isdir(MEDIUM), reason="no test tables")
 def test_quality_rejects_most_labelled_bad_texts(spark):
     docs, labels = (spark.read.parquet(f"{MEDIUM}/{n}.parquet") for n in ("documents", "labels"))
@@ -63,8 +72,9 @@ def test_repeats_are_counted_within_texts():
 
 def test_model_counts_whole_texts(spark):
     words = [f"w{i}" for i in range(5000)]
-    model = quality.train(spark.createDataFrame([(" ".join(words),)], "text string"))
-    assert len(model.orders[2][0]) == len(words) + 1
+    model, _ = quality.train(spark.createDataFrame([(" ".join(words),)], "text string"))
+    # Words and end, start; pairs and the pair of starts; triples.
+    assert model.count() == (len(words) + 2) + (len(words) + 2) + (len(words) + 1)
 
 
 @pytest.mark.skipif(not os.path.isdir(TINY), reason="no test tables")
