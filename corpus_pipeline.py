@@ -11,7 +11,7 @@ by broadcast only under its own size threshold.
 
 Edge cases, beside those of the operators: a null text passes the filters and
 stays null; rows equal in id, text and language count as copies, of which the
-near-duplicate stage keeps one; columns beyond those of documents pass through
+near-duplicate stage keeps the one whose columns come first as JSON; columns beyond those of documents pass through
 whatever their names; an empty table passes through every stage.
 """
 
@@ -75,8 +75,10 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
         flag += "_"
     marked = docs.join(odd.withColumnRenamed("one_of_many", flag), key, "left")
     alone = marked.filter(F.col(flag).isNull())
-    copies = marked.filter(F.col(flag)).dropDuplicates([key])
-    return alone.unionByName(copies).select(*columns)
+    # Of rows equal in id, text and language, the one whose other columns come first as JSON.
+    row = F.struct(*[F.col(f"`{c}`") for c in columns])
+    copies = marked.filter(F.col(flag)).groupBy(key).agg(F.min_by(row, F.to_json(row)).alias("row"))
+    return alone.select(*[F.col(f"`{c}`") for c in columns]).union(copies.select("row.*"))
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -94,7 +96,7 @@ def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     rest = [c for c in docs.columns if c != "text"]
     whole = F.struct(*[F.col(f"`{c}`") for c in rest])
     rows = docs.select(F.struct(whole.alias("rest"), F.col("text").isNull().alias("void")).alias("doc_id"), "text")
-    clean = redacted(scan(rows, REMOVED))
+    clean = redacted(scan(rows, REMOVED, key="doc_id.rest.doc_id"))
     text = F.when(~F.col("doc_id.void"), F.col("text"))
     kept = {c: F.col(f"doc_id.rest.`{c}`") for c in rest}
     if "n_chars" in kept:

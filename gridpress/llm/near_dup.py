@@ -10,15 +10,24 @@ of the classes whose whole signatures agree enough, never all its pairs. The
 forests' components are candidate groups; inside each, links are decided on
 the full sets, through one inverted list per group.
 
-Skew. Exact copies meet in one class before anything is compared. A region
-above ``REGION_ROWS`` goes to full depth, and beyond that is dealt out in
-parts that all hold the region's first class. A candidate group above
+Crowds. A region above ``REGION_ROWS`` goes to full depth, and beyond that is
+dealt out in parts that all hold the region's first class. That may part a
+pair, so all classes of such regions are joined a second time, without loss: a
+class's rarest shingles, a few more than the share in which two linked sets
+may differ, must hold one that both have. Classes that share one of them, and
+are not in one candidate group already, are compared by whole signatures as
+in a region. How rare a shingle is comes from a table of ``COUNTERS`` sums;
+any order would do, as long as it is the same for all.
+
+Skew. Exact copies meet in one class before anything is compared. Lists of
+classes above ``REGION_ROWS`` are cut into chunks of which every pair is one
+unit of work. A candidate group above
 ``GROUP_SHINGLES`` is cut into chunks and every pair of chunks is one unit of
 work, so no link is lost and no task holds a whole large group.
 
 Recall. Two classes of Jaccard similarity s miss each other with probability
-(1 - s**d)**trees; at s = 0.85 that is 8e-6 at depth 4 and 6e-3 at depth 8.
-Shingles and classes are told apart by 64-bit hashes.
+(1 - s**min_depth)**trees, crowded or not: 8e-6 at s = 0.85, 2e-4 at 0.8.
+Signatures too far apart by chance (``SLACK``) add some 3e-6. Shingles and classes are told apart by 64-bit hashes.
 
 Edge cases. Null or blank text: empty set, linked with nothing. Repeated rows
 and equal ids: every row is answered; equal sets share a component. Null ids:
@@ -38,6 +47,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gridpress.llm import words
+from gridpress.llm.filters import FILTER_BITS, filter_of
 from gridpress.llm.graph import components
 from gridpress.session import stage
 from workloads.base import Registry, Tables
@@ -48,9 +58,10 @@ REGION_ROWS = 2048
 GROUP_SHINGLES = 2_000_000
 #: A pair of signatures this far (in standard errors) below the threshold is no candidate.
 SLACK = 4.5
-#: Width of the map-side filter of texts whose sets are needed; its size does not depend on the data.
-FILTER_BITS = 1 << 26
-BITMAP_BITS = 32768
+#: A group this large is cut into up to ``GROUP_PARTS``, so that one task does not hold it all.
+PART_SHINGLES, GROUP_PARTS = 1 << 16, 4
+#: Sums by which shingles of crowded classes are ordered.
+COUNTERS = 1 << 20
 
 
 def _coefficients(count: int) -> tuple[np.ndarray, np.ndarray]:
@@ -175,10 +186,15 @@ def _neighbours(batches: Iterator[pa.RecordBatch], values: int, floor: float, ra
         inner = np.ones(n, bool)
         inner[bounds[:-1]] = False
         second = np.flatnonzero(inner)
+        # What is known to be one group needs no link.
+        same = np.zeros(n, bool)
+        if "label" in table.column_names:
+            label = table["label"].to_numpy()
+            same[1:] = inner[1:] & (label[1:] == label[:-1])
         hit = np.concatenate([alike(c - 1, c) for c in np.array_split(second, len(second) // 4096 + 1)]) if len(second) else np.zeros(0, bool)
-        near = second[hit]
+        near = second[hit & ~same[second]]
         edges = [np.stack([node[near - 1], node[near]], 1)]
-        joined = np.zeros(n, bool)
+        joined = same.copy()
         joined[near] = True
         missing = np.add.reduceat((inner & ~joined).astype(np.int64), bounds[:-1])
         for g in np.flatnonzero((missing > 0) & (np.diff(bounds) > 2)):
@@ -199,6 +215,39 @@ def _neighbours(batches: Iterator[pa.RecordBatch], values: int, floor: float, ra
         yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["a", "b"])
 
 
+def _slot(shingles: np.ndarray) -> np.ndarray:
+    return (shingles & np.uint64(COUNTERS - 1)).astype(np.int64)
+
+
+def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A task's occurrences per counter, in 64 parts."""
+    total = np.zeros(COUNTERS, np.int64)
+    for batch in batches:
+        for one in batch["shingles"]:
+            total += np.bincount(_slot(np.frombuffer(one.as_buffer(), np.uint64)), minlength=COUNTERS)
+    parts = np.split(total, 64)
+    yield pa.RecordBatch.from_arrays([pa.array(range(64), pa.int32()), pa.array([p.tobytes() for p in parts], pa.binary())], ["part", "counts"])
+
+
+def _added(table: pa.Table) -> pa.Table:
+    total = sum(np.frombuffer(x.as_buffer(), np.int64) for x in table["counts"])
+    return pa.table({"part": table["part"][:1], "counts": pa.array([total.tobytes()], pa.binary())})
+
+
+def _rarest(batches: Iterator[pa.RecordBatch], counts, percent: int) -> Iterator[pa.RecordBatch]:
+    """The rarest shingles of each set: one more than may be missing from a set that is linked with it."""
+    of = np.frombuffer(counts.value, np.int64)
+    for batch in batches:
+        parts = []
+        for one in batch["shingles"]:
+            grams = np.frombuffer(one.as_buffer(), np.uint64)
+            keep = len(grams) - -(-percent * len(grams) // 100) + 1
+            parts.append(grams[np.lexsort((grams, of[_slot(grams)]))[:keep]])
+        at = pa.array(np.repeat(np.arange(len(parts)), [len(p) for p in parts]))
+        flat = np.concatenate(parts).view(np.int64) if parts else np.zeros(0, np.int64)
+        yield pa.RecordBatch.from_arrays([pa.array(flat), batch["node"].take(at), batch["label"].take(at)], ["shingle", "node", "label"])
+
+
 def _wanted_sets(batches: Iterator[pa.RecordBatch], width: int, wanted) -> Iterator[pa.RecordBatch]:
     bits = np.frombuffer(wanted.value, np.uint8)
     seen: set[int] = set()
@@ -258,6 +307,32 @@ def confirmed(sets: list[np.ndarray], percent: int, side: np.ndarray | None = No
     return links
 
 
+def _sets_of(docs: DataFrame, members: DataFrame, width: int) -> DataFrame:
+    """(node, shingles) of the classes of ``members`` (first_id) and of some others."""
+    bits = docs.sparkSession.sparkContext.broadcast(filter_of(members.select(F.xxhash64("first_id").alias("key"))))  # of fixed size
+    slotted = docs.select("text", F.pmod(F.xxhash64("doc_id"), F.lit(FILTER_BITS)).alias("slot"))
+    return slotted.mapInArrow(partial(_wanted_sets, width=width, wanted=bits), "node bigint, shingles binary")
+
+
+def _crowd_placed(docs: DataFrame, crowd: DataFrame, width: int, percent: int) -> DataFrame:
+    """(region, part, node, label): classes of ``crowd`` that share one of their rarest shingles, across labels."""
+    sets = _sets_of(docs, crowd, width).join(crowd.select("node", "label"), "node").dropDuplicates(["node"])
+    sets = stage(sets, "crowd-sets")
+    counted = sets.select("shingles").mapInArrow(_counted, "part int, counts binary")
+    parts = counted.groupBy("part").applyInArrow(lambda rows: _added(rows), "part int, counts binary").collect()  # 8 * COUNTERS bytes
+    counts = docs.sparkSession.sparkContext.broadcast(b"".join(bytes(p.counts) for p in sorted(parts, key=lambda p: p.part)))
+    rare = stage(sets.mapInArrow(partial(_rarest, counts=counts, percent=percent), "shingle bigint, node bigint, label bigint"), "rarest")
+    lists = rare.groupBy("shingle").agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("node")).alias("members"), (F.min("label") != F.max("label")).alias("mixed"))
+    # Shingles that the same classes share count once.
+    lists = lists.filter("mixed").groupBy("n", "members").agg(F.min("shingle").alias("shingle"))
+    placed = rare.join(lists.select("shingle", "n"), "shingle")
+    chunks = F.when(F.col("n") <= REGION_ROWS, F.lit(1)).otherwise(F.ceil(2 * F.col("n") / REGION_ROWS)).cast("int")
+    placed = placed.withColumn("chunks", chunks).withColumn("chunk", F.pmod(F.xxhash64("node", "shingle"), F.col("chunks")).cast("int"))
+    placed = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
+    part = F.least("chunk", "other") * F.col("chunks") + F.greatest("chunk", "other")
+    return placed.select(F.xxhash64("shingle", F.lit("crowd")).alias("region"), part.alias("part"), "node", "label").distinct()
+
+
 def near_duplicates(
     docs: DataFrame, width: int = 5, percent: int = 80, trees: int = 16, depth: int = 8, min_depth: int = 4
 ) -> DataFrame:
@@ -267,7 +342,7 @@ def near_duplicates(
     ``width``-word shingles; ``component_id`` is the smallest doc_id reachable,
     ``kept`` marks the row that carries it.
     """
-    spark, values = docs.sparkSession, trees * depth
+    values = trees * depth
     share = percent / 100
     floor = share - SLACK * (share * (1 - share) / values) ** 0.5
     docs = docs.select("doc_id", "text")
@@ -302,19 +377,20 @@ def near_duplicates(
     candidates = placed.mapInArrow(partial(_neighbours, values=values, floor=floor, ratio=share), "a bigint, b bigint")
     groups = components(candidates)
 
-    members = groups.join(classes.select("node", "n_shingles", "first_id"), "node")
-    members = stage(members.withColumn("slot", F.pmod(F.xxhash64("first_id"), F.lit(FILTER_BITS))), "members")
-    one = F.col("slot") + 1  # Spark's bitmaps count from one
-    maps = members.groupBy(F.bitmap_bucket_number(one).alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(one)).alias("bits"))
-    bits = bytearray(FILTER_BITS // 8)
-    for bucket, chunk in maps.collect():  # FILTER_BITS / 8 bytes at most
-        at = (bucket - 1) * BITMAP_BITS // 8
-        bits[at : at + len(chunk)] = chunk
-    wanted = spark.sparkContext.broadcast(bytes(bits))
-    slotted = docs.select("text", F.pmod(F.xxhash64("doc_id"), F.lit(FILTER_BITS)).alias("slot"))
-    sets = slotted.mapInArrow(partial(_wanted_sets, width=width, wanted=wanted), "node bigint, shingles binary")
+    crowd = regions.filter(F.col("n") > REGION_ROWS).select("node").distinct().join(classes.select("node", "first_id"), "node")
+    crowd = stage(crowd.join(groups, "node", "left").select("node", "first_id", F.coalesce("label", "node").alias("label")), "crowd")
+    if not crowd.isEmpty():
+        placed = _crowd_placed(docs, crowd, width, percent).join(classes.select("node", "n_shingles", "signature"), "node")
+        placed = placed.repartition("region", "part").sortWithinPartitions("region", "part", "label", "signature", "node")
+        more = placed.mapInArrow(partial(_neighbours, values=values, floor=floor, ratio=share), "a bigint, b bigint")
+        groups = components(groups.select(F.col("node").alias("a"), F.col("label").alias("b")).union(more))
+
+    members = stage(groups.join(classes.select("node", "n_shingles", "first_id"), "node"), "members")
+    sets = _sets_of(docs, members, width)
 
-    sizes = members.groupBy("label").agg(F.sum("n_shingles").alias("total")).withColumn("chunks", F.ceil(F.col("total") / GROUP_SHINGLES).cast("int"))
+    few = F.least(F.lit(GROUP_PARTS), F.ceil(F.col("total") / PART_SHINGLES))
+    chunks = F.greatest(few, F.ceil(F.col("total") / GROUP_SHINGLES))
+    sizes = members.groupBy("label").agg(F.sum("n_shingles").alias("total")).withColumn("chunks", chunks.cast("int"))
     placed = members.join(sizes, "label").withColumn("chunk", F.pmod(F.xxhash64("node"), F.col("chunks")).cast("int"))
     placed = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
     placed = placed.select("node", "label", "chunk", F.least("chunk", "other").alias("one"), F.greatest("chunk", "other").alias("two"))

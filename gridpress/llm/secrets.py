@@ -158,10 +158,14 @@ def candidates(keyed: DataFrame, rules: tuple[Rule, ...]) -> DataFrame:
     return hits.groupBy("key").agg(F.bit_or("bit").alias("rules"))
 
 
-def scan(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
-    """Rows of ``docs`` (doc_id, text) with their ``found`` secrets in order of start, then of rule."""
+def scan(docs: DataFrame, rules: tuple[Rule, ...] = RULES, key: str = "doc_id") -> DataFrame:
+    """Rows of ``docs`` (doc_id, text) with their ``found`` secrets in order of start, then of rule.
+
+    ``key`` is what of a row is hashed beside its text; a doc_id that holds
+    maps cannot be hashed whole.
+    """
     keyed = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    keyed = keyed.withColumn("key", F.xxhash64("doc_id", "text"))
+    keyed = keyed.withColumn("key", F.xxhash64(key, "text"))
     listed = stage(candidates(keyed.select("key", "text"), rules), "candidates")
     rows = keyed.join(listed, "key", "left")
     found = []

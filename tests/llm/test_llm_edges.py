@@ -29,7 +29,7 @@ def docs(spark):
     frame = spark.createDataFrame(DOCS, "doc_id bigint, text string, lang string").withColumn("source", F.lit("s")).withColumn("n_chars", F.length("text").cast("long"))
     for name in CLASH:
         frame = frame.withColumn(name, F.lit("own"))
-    return frame
+    return frame.withColumn("meta", F.create_map(F.lit("k"), F.coalesce(F.col("lang"), F.lit("none")))).withColumn("a.b", F.array(F.lit(1)))
 
 
 @pytest.fixture(scope="module")
@@ -114,6 +114,12 @@ def test_near_stage_keeps_one_of_equal_rows(spark, docs):
     assert sum(not (r.text or "").strip() for r in kept) == 3
 
 
+def test_near_stage_takes_a_defined_copy(spark):
+    rows = [(1, TEXT, "en", {"k": v}) for v in ("c", "a", "b")]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string, meta map<string, string>").repartition(3)
+    assert [r.meta for r in corpus_pipeline.drop_near_duplicates(spark, docs, "").collect()] == [{"k": "a"}]
+
+
 def test_warc_edges(spark, tmp_path):
     rows = [(1, "http://a/ b\n", "x" * 100_000), (2, None, "x" * 100_000), (2, None, "x" * 100_000), (3, "u", None), (None, "u", "é"), (4, "u", ""), (5, "u", "a\r\n\r\nWARC/1.1\r\n\r\n"), (None, None, "z"), (None, None, "z")]
     pages = spark.createDataFrame(rows, "page_id bigint, url string, html string").withColumn("least", F.lit("own"))

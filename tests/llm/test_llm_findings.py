@@ -5,12 +5,13 @@ import random
 import re
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 import corpus_pipeline
-from gridpress.llm import pieces, quality, secrets, trigrams
+from gridpress.llm import lm, near_dup, pieces, quality, secrets, trigrams
 from gridpress.session import stage
 
 TINY, MEDIUM = "/root/testdata/sf0.001", "/root/testdata/sf0.1"
@@ -90,3 +91,63 @@ def test_pieces_are_returned_with_their_alternatives(spark):
     assert all(read[r.doc_id] == plain[r.doc_id] for r in found.collect() if r.round_trip)
     for r in found.collect():
         assert len(r.ids) == r.n_tokens and [o.score for o in r.others] == r.nbest_scores[1:]
+
+
+def shingles(words, width=3):
+    return {tuple(words[i : i + width]) for i in range(len(words) - width + 1)}
+
+
+def test_no_link_is_lost_in_crowds(spark, monkeypatch):
+    """Classes that share a passage of most of their text, and form pairs that only two of them are in."""
+    monkeypatch.setattr(near_dup, "REGION_ROWS", 128)
+    rng = random.Random(11)
+    passage = [f"p{i}" for i in range(150)]
+    rows, want, sets = [], set(), {}
+    for pair in range(600):
+        own = [f"o{pair}-{i}" for i in range(26)]
+        other = own[:-5] + [f"x{pair}-{i}" for i in range(5)]
+        at = rng.randrange(0, 2)
+        for k, tail in enumerate((own, other)):
+            words = passage + tail if at else tail + passage
+            doc = 2 * pair + k
+            sets[doc] = shingles(words)
+            rows.append((doc, " ".join(words)))
+        a, b = sets[2 * pair], sets[2 * pair + 1]
+        assert 100 * len(a & b) >= 85 * len(a | b)
+        want.add(2 * pair)
+    assert 100 * len(sets[0] & sets[2]) < 85 * len(sets[0] | sets[2])
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(4)
+    got = {r.doc_id: r.component_id for r in near_dup.near_duplicates(docs, width=3, percent=85).collect()}
+    found = sum(got[2 * p + 1] == got[2 * p] == 2 * p for p in range(600))
+    assert found >= 0.99 * 600 and len(got) == 1200
+    # Nothing is linked beyond its pair.
+    assert all(c >= d - 1 for d, c in got.items())
+
+
+def test_rarest_shingles_hold_a_shared_one():
+    rng = np.random.default_rng(3)
+    for _ in range(300):
+        base = rng.integers(0, 1 << 63, 60, dtype=np.uint64)
+        a = np.unique(base[: rng.integers(40, 60)])
+        b = np.unique(np.concatenate([base[rng.integers(0, 8) : 55], rng.integers(0, 1 << 63, 2, dtype=np.uint64)]))
+        if 100 * len(np.intersect1d(a, b)) < 80 * len(np.union1d(a, b)):
+            continue
+        counts = rng.integers(0, 9, near_dup.COUNTERS).astype(np.int64)
+        batch = pa.RecordBatch.from_arrays([pa.array([1, 2]), pa.array([1, 2]), pa.array([a.tobytes(), b.tobytes()], pa.binary())], ["node", "label", "shingles"])
+
+        class Given:
+            value = counts.tobytes()
+
+        out = next(near_dup._rarest(iter([batch]), Given, 80)).to_pylist()
+        left, right = ({r["shingle"] for r in out if r["node"] == k} for k in (1, 2))
+        assert left & right
+
+
+def test_counts_of_tokens_go_beyond_32_bits():
+    keys = np.array([5, 9], np.uint64)
+    packed = lm.EliasFano.pack(keys).tobytes()
+    half = np.array([4_000_000_000, 7], np.uint32).tobytes()
+    row = {"words": packed, "word_counts": half, "pairs": packed, "pair_counts": half}
+    table = pa.table({"block": pa.array([0, 1]), "shard": pa.array([0, 0]), **{k: pa.array([v, v], pa.binary()) for k, v in row.items()}})
+    out = lm._answer(table)
+    assert np.frombuffer(out["counts"][0].as_py(), np.uint64).tolist() == [8_000_000_000, 14]
