@@ -80,3 +80,13 @@ def stage(df: DataFrame, label: str, partition_by: tuple[str, ...] = ()) -> Data
     path = f"{scratch_root(spark)}/gridpress/{label}-{uuid.uuid4().hex}"
     df.write.partitionBy(*partition_by).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def discard(*frames: DataFrame) -> None:
+    """Delete tables that :func:`stage` wrote and that nothing reads any more."""
+    for frame in frames:
+        files = frame.inputFiles()
+        if files:
+            spark = frame.sparkSession
+            path = spark._jvm.org.apache.hadoop.fs.Path(files[0]).getParent()
+            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
