@@ -70,9 +70,32 @@ def with_source_name(df: DataFrame, sources: DataFrame) -> DataFrame:
     return df.join(named, "source_id", "left").select(*df.columns, F.coalesce("_name", fallback).alias("source_name"))
 
 
+#: Listing order of each kind of record: its columns, "-" for descending. Ids break ties in the same direction.
+LISTING = {"datasets": ("-version", "dataset_id"), "definitions": ("slug", "definition_id")}
+
+
+def listing_order(kind: str, created: str = "created_at", key: str = "id") -> list[C]:
+    """Sort keys of a listing: datasets by newest version, definitions by slug,
+    any other kind newest first (by ``created``, then ``key``)."""
+    order = LISTING.get(kind, (f"-{created}", f"-{key}"))
+    return [F.desc_nulls_last(c[1:]) if c.startswith("-") else F.asc_nulls_last(c) for c in order]
+
+
+def listing(df: DataFrame, kind: str, **names: str) -> DataFrame:
+    """All records of a kind in the order they are listed."""
+    return df.orderBy(*listing_order(kind, **names))
+
+
 def recent_ingests(datasets: DataFrame, sources: DataFrame, n: int = 6) -> DataFrame:
-    """The newest datasets, with the names of their sources."""
-    newest = datasets.orderBy(F.desc("created_at"), F.desc("dataset_id")).limit(n)
+    """The newest datasets, with the names of their sources and how many warnings they have.
+
+    ``warnings_count`` is taken from the datasets, or counted from their
+    ``warnings``; a dataset that has neither has none.
+    """
+    newest = listing(datasets, "ingests", key="dataset_id").limit(n)
+    if "warnings_count" not in newest.columns:
+        held = F.coalesce(F.size("warnings"), F.lit(0)) if "warnings" in newest.columns else F.lit(0)
+        newest = newest.withColumn("warnings_count", F.greatest(held, F.lit(0)).cast("long"))
     return with_source_name(newest, sources)
 
 

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from gridpress.session import configure
+from gridpress.session import configure, stage
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -22,6 +22,17 @@ class Tables:
         return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
 
 
+def even(df: DataFrame, *keys: str) -> DataFrame:
+    """``df`` as a table of its own whose rows lie evenly over the session's shuffle partitions.
+
+    Text is printed from tables that may be one row group, thus one task. A
+    hash of the key deals the rows out; their number of parts is the session's
+    setting, so it grows with the cluster.
+    """
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return stage(df.repartition(parts, *keys), "even")
+
+
 class Registry:
     """Named queries and, where SQL can express them, their SQL."""
 

@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gridpress.functions.params import canonical_params, fingerprint
+from gridpress.operators.ordered import total_rank
 from gridpress.operators.view import page_stats
 from gridpress.plans import audit as A
 from gridpress.plans import catalog as K
@@ -160,23 +161,31 @@ def listing_totals(t: Tables) -> DataFrame:
     return page_stats(K.catalog_filter(datasets(t), source_id=None, status="published"), 2, 200)
 
 
-@R.add(CTE + """ SELECT dataset_id, source_id, version, status, row_count FROM datasets ORDER BY version DESC, dataset_id LIMIT 200""")
+@R.add(CTE + """ SELECT 'datasets' AS kind, dataset_id AS id, row_number() OVER (ORDER BY version DESC, dataset_id) AS place FROM datasets
+UNION ALL SELECT 'definitions', definition_id, row_number() OVER (ORDER BY slug, definition_id) FROM settings
+UNION ALL SELECT 'ingests', dataset_id, row_number() OVER (ORDER BY created_at DESC, dataset_id DESC) FROM datasets""")
 def catalog_ordering(t: Tables) -> DataFrame:
-    # The admin listing returns at most 200 records a page.
-    return datasets(t).orderBy(F.desc("version"), "dataset_id").limit(200).drop("created_at")
+    """Places of all records in the three listings."""
+    every = []
+    for kind, df, key in (("datasets", datasets(t), "dataset_id"), ("definitions", definitions(t), "definition_id"), ("ingests", datasets(t), "dataset_id")):
+        placed = total_rank(df, K.listing_order(kind, key=key), "place")
+        every.append(placed.select(F.lit(kind).alias("kind"), F.col(key).alias("id"), "place"))
+    return every[0].union(every[1]).union(every[2])
 
 
 @R.add(CTE + """, n AS (SELECT * FROM datasets ORDER BY created_at DESC, dataset_id DESC LIMIT 6)
-SELECT dataset_id, version, row_count, coalesce(name, 'source ' || CAST(source_id AS VARCHAR)) AS source_name FROM n LEFT JOIN sources USING (source_id)""")
+SELECT dataset_id, version, row_count, row_count % 7 AS warnings_count, coalesce(name, 'source ' || CAST(source_id AS VARCHAR)) AS source_name FROM n LEFT JOIN sources USING (source_id)""")
 def recent_ingests(t: Tables) -> DataFrame:
-    return K.recent_ingests(datasets(t), sources(t)).select("dataset_id", "version", "row_count", "source_name")
+    counted = datasets(t).withColumn("warnings_count", F.col("row_count") % 7)
+    return K.recent_ingests(counted, sources(t)).select("dataset_id", "version", "row_count", "warnings_count", "source_name")
 
 
-@R.add("""SELECT s_suppkey, s_name, coalesce(n_name, 'source ' || CAST(s_nationkey AS VARCHAR)) AS source_name
-FROM supplier LEFT JOIN (SELECT * FROM nation WHERE n_regionkey > 0) ON s_nationkey = n_nationkey""")
+@R.add("""SELECT s_suppkey, s_name, coalesce(n_name, 'source ' || CAST(s_nationkey + 20 * (s_suppkey % 2) AS VARCHAR)) AS source_name
+FROM supplier LEFT JOIN nation ON s_nationkey + 20 * (s_suppkey % 2) = n_nationkey""")
 def lookup_name(t: Tables) -> DataFrame:
-    suppliers = t.supplier.withColumn("source_id", F.col("s_nationkey"))
-    names = t.nation.where("n_regionkey > 0").select(F.col("n_nationkey").alias("source_id"), F.col("n_name").alias("name"))
+    """Names of all nations; every second supplier mostly refers to one that is not there."""
+    suppliers = t.supplier.withColumn("source_id", F.col("s_nationkey") + 20 * (F.col("s_suppkey") % 2))
+    names = t.nation.select(F.col("n_nationkey").alias("source_id"), F.col("n_name").alias("name"))
     return K.with_source_name(suppliers, names).select("s_suppkey", "s_name", "source_name")
 
 

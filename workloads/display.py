@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from gridpress.functions import display as V
 from gridpress.model import Column
-from workloads.base import Registry, Tables
+from workloads.base import Registry, Tables, even
 
 R = Registry()
 
@@ -20,7 +20,8 @@ SELECT l_orderkey, l_linenumber, translate(format('{:,.2f}', l_extendedprice), '
 FROM x""")
 def render_numbers(t: Tables) -> DataFrame:
     price = F.col("l_extendedprice")
-    return t.lineitem.select(
+    lines = even(t.lineitem.select("l_orderkey", "l_linenumber", "l_extendedprice", "l_discount"), "l_orderkey", "l_linenumber")
+    return lines.select(
         "l_orderkey",
         "l_linenumber",
         V.number_display(price).alias("scale_2"),
@@ -69,7 +70,7 @@ def render_durations(t: Tables) -> DataFrame:
 
 @R.add("""SELECT event_id, CASE event_type WHEN 'view' THEN '—' WHEN 'click' THEN 'Sí' ELSE 'No' END AS flag,
   CASE WHEN event_type = 'error' THEN '—' ELSE props END AS json FROM events
-UNION ALL SELECT doc_id, 'No', CASE WHEN length(text) <= 120 THEN text ELSE left(text, 119) || '…' END FROM documents WHERE length(text) > 0""")
+UNION ALL SELECT doc_id, 'No', CASE WHEN coalesce(text, '') = '' THEN '—' WHEN length(text) <= 120 THEN text ELSE left(text, 119) || '…' END FROM documents""")
 def render_flags_and_json(t: Tables) -> DataFrame:
     kind = F.col("event_type")
     flag = F.when(kind != "view", kind == "click")
@@ -78,7 +79,7 @@ def render_flags_and_json(t: Tables) -> DataFrame:
         V.boolean_display(flag).alias("flag"),
         V.json_display(F.when(kind == "error", F.lit("")).otherwise(F.col("props"))).alias("json"),
     )
-    texts = t.documents.where(F.length("text") > 0).select(
+    texts = t.documents.select(
         F.col("doc_id").alias("event_id"), V.boolean_display(F.lit(False)).alias("flag"), V.json_display(F.col("text")).alias("json")
     )
     return events.unionByName(texts)
