@@ -28,7 +28,7 @@ from __future__ import annotations
 import hashlib
 import json
 import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from functools import partial
 from itertools import chain
 
@@ -42,7 +42,7 @@ from pyspark.sql import Window as W
 
 from gridpress.llm import bpe
 from gridpress.llm.pieces import MARK, MODEL
-from gridpress.llm.stretches import Known, Lists, runs
+from gridpress.llm.stretches import RUN_CHARS, Known, Lists, irregular, joined, row_runs, runs
 from gridpress.llm.sums import BLOCK_ROWS, opened, postings, summed
 from gridpress.session import stage
 from workloads.base import Registry, Tables
@@ -92,21 +92,29 @@ class Aligner:
         self.names = [str(i) for i in range(max(len(self.a.sizes), len(pieces)))]
         self.links = Lists(np.int64)
         self.shown: list[str | None] = []
-        self.sizes = Lists()
+        self.sizes, self.learned = np.zeros((1 << 10, 3), np.int64), 0
         self.known = Known(self._learn, self._forget)
 
     def _forget(self) -> None:
         self.links.clear()
-        self.sizes.clear()
+        self.learned = 0
         self.shown = []
 
     def encoded(self, texts: list[str]) -> list[tuple[np.ndarray, np.ndarray]]:
         """(ids joined, how many are each text's) of A and of B, for stretches that begin with a space."""
-        b = self.b.encode([t[1:] for t in texts], num_threads=1)
-        # The model adds its space to all but the empty text.
-        b = [x if len(t) > 1 else [self.space] for t, x in zip(texts, b, strict=True)]
-        counts = np.fromiter(map(len, b), np.int64, len(b))
-        return [self.a.encode_each(texts), (np.fromiter(chain.from_iterable(b), np.int64, int(counts.sum())), counts)]
+        lengths = np.array([len(t) if t.isascii() else len(t.encode()) for t in texts])
+        alone = irregular(texts) | np.array([MARK in t for t in texts], bool)
+        found = self.b.encode([t[1:] for t in joined(texts, alone)], num_threads=1)
+        b = np.fromiter(chain.from_iterable(found), np.int64, sum(map(len, found)))
+        ends, edges = np.cumsum(self.b_sizes[b]), np.cumsum(lengths)
+        cut = np.searchsorted(ends, edges, "right")
+        if len(ends) and cut[-1] == len(b) and (cut > 0).all() and (ends[cut - 1] == edges).all():
+            return [self.a.encode_each(texts), (b, np.diff(cut, prepend=0))]
+        # Some text is not given back, or is the empty one that the model adds no space to: one by one.
+        each = self.b.encode([t[1:] for t in texts], num_threads=1)
+        each = [x if len(t) > 1 else [self.space] for t, x in zip(texts, each, strict=True)]
+        counts = np.fromiter(map(len, each), np.int64, len(each))
+        return [self.a.encode_each(texts), (np.fromiter(chain.from_iterable(each), np.int64, int(counts.sum())), counts)]
 
     @staticmethod
     def _given_back(flat: np.ndarray, counts: np.ndarray, sizes, start, raw, lengths: np.ndarray, joined: np.ndarray) -> np.ndarray:
@@ -135,15 +143,13 @@ class Aligner:
         flat = [f[np.repeat(same, c)] for f, c in zip(flat, counts, strict=True)]
         ends = [np.cumsum(sizes[f]) for f, sizes in zip(flat, (self.a.sizes, self.b_sizes), strict=True)]
         group = groups_of(*ends)
-        cut = [np.concatenate([np.flatnonzero(np.diff(g, prepend=-1)), [len(g)]]).tolist() for g in group]
-        names, (ids_a, ids_b), (cut_a, cut_b) = self.names, [f.tolist() for f in flat], cut
-        shown = []
-        for i in range(len(cut_a) - 1):
-            left, right = ids_a[cut_a[i] : cut_a[i + 1]], ids_b[cut_b[i] : cut_b[i + 1]]
-            if len(left) == 1 == len(right):
-                shown.append(f"{left[0]}|{right[0]}")
-            else:
-                shown.append(f"{','.join([names[x] for x in left])}|{','.join([names[x] for x in right])}")
+        bound = [np.concatenate([np.flatnonzero(np.diff(g, prepend=-1)), [len(g)]]).tolist() for g in group]
+        name = self.names.__getitem__
+        left, right = (list(map(name, f.tolist())) for f in flat)
+        shown = [
+            f"{left[a]}|{right[c]}" if b - a == 1 == d - c else f"{','.join(left[a:b])}|{','.join(right[c:d])}"
+            for a, b, c, d in zip(bound[0], bound[0][1:], bound[1], bound[1][1:], strict=False)
+        ]
         x, y, together = overlaps(*ends)
         code = (flat[0][x[together]] << B_BITS) | flat[1][y[together]]
         # Where each stretch's groups and links end.
@@ -158,25 +164,41 @@ class Aligner:
                 at, k = upto[k], k + 1
         three = np.zeros((len(new), 3), np.int64)
         three[same] = np.stack([counts[0][same], counts[1][same], np.diff(upto, prepend=0)], 1)
-        self.sizes.add(three.ravel(), np.full(len(new), 3))
+        if self.learned + len(new) > len(self.sizes):
+            self.sizes = np.concatenate([self.sizes[: self.learned], np.zeros((2 * (self.learned + len(new)), 3), np.int64)])
+        self.sizes[self.learned : self.learned + len(new)] = three
+        self.learned += len(new)
         each = np.zeros(len(new), np.int64)
         each[same] = np.diff(linked, prepend=0)
         self.links.add(code, each)
 
-    def align(self, text: str) -> tuple[np.ndarray, str, np.ndarray] | None:
-        """((n_a, n_b, n_groups), digest, link codes); None where the tokens do not give the text back."""
-        if not text:
-            return None
-        total, digest, codes, joint = np.zeros(3, np.int64), hashlib.sha256(), [], b""
+    def align_each(self, texts: list[str]) -> list[tuple[np.ndarray, str, np.ndarray] | None]:
+        """((n_a, n_b, n_groups), digest, link codes) of each text; None where its tokens do not give it back."""
+        self.known.trim()
+        numbers = [self.known.numbers(" " + t) if 0 < len(t) <= RUN_CHARS else None for t in texts]
+        self.known.settle()
+        out = [None if at is None else self._result([at]) for at in numbers]
+        for i, text in enumerate(texts):
+            if len(text) > RUN_CHARS:
+                out[i] = self._result(self._run_numbers(text))
+        return out
+
+    def _run_numbers(self, text: str) -> Iterator[np.ndarray]:
         for run in runs(" " + text):
             self.known.trim()
             at = self.known.numbers(run)
-            parts = [self.shown[i] for i in at]
+            self.known.settle()
+            yield at
+
+    def _result(self, numbers: Iterable[np.ndarray]) -> tuple[np.ndarray, str, np.ndarray] | None:
+        total, digest, codes, joint = np.zeros(3, np.int64), hashlib.sha256(), [], b""
+        for at in numbers:
+            parts = list(map(self.shown.__getitem__, at.tolist()))
             if None in parts:
                 return None
             digest.update(joint + ";".join(parts).encode())
             joint = b";"
-            total += self.sizes.take(at).reshape(-1, 3).sum(0)
+            total += self.sizes[at].sum(0)
             codes.append(self.links.take(at))
         return total, digest.hexdigest(), np.concatenate(codes)
 
@@ -270,21 +292,18 @@ def _blocks(batches: Iterator[pa.RecordBatch], given) -> Iterator[pa.RecordBatch
             )
 
     for batch in batches:
-        for i, text in enumerate(batch["text"]):
-            text = text.as_py()
-            found = aligner.align(text)
-            ids.append(batch["doc_id"].slice(i, 1))
-            if found is None:
-                rows.append((0, 0, 0, 0, ""))
-                codes.append(np.zeros(0, np.int64))
-            else:
-                total, digest, links = found
-                rows.append((*total.tolist(), len(links), digest))
-                codes.append(links)
-            chars += len(text or "")
-            if chars >= BLOCK_CHARS or len(rows) >= BLOCK_ROWS:
-                yield from flush()
-                ids, rows, codes, chars, number = [], [], [], 0, number + 1
+        for first, texts in row_runs(batch["text"]):
+            for low in range(0, len(texts), BLOCK_ROWS):
+                part = texts[low : low + BLOCK_ROWS]
+                if rows and (chars >= BLOCK_CHARS or len(rows) + len(part) > BLOCK_ROWS):
+                    yield from flush()
+                    ids, rows, codes, chars, number = [], [], [], 0, number + 1
+                ids.append(batch["doc_id"].slice(first + low, len(part)))
+                for found in aligner.align_each(part):
+                    total, digest, links = found or (np.zeros(3, np.int64), "", np.zeros(0, np.int64))
+                    rows.append((*total.tolist(), len(links), digest))
+                    codes.append(links)
+                chars += sum(map(len, part))
     if rows:
         yield from flush()
 

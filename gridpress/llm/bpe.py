@@ -38,7 +38,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from tokenizers import models
 
-from gridpress.llm.stretches import Known, Lists, row_runs, runs
+from gridpress.llm.stretches import Known, Lists, irregular, joined, row_runs, runs
 from workloads.base import Registry, Tables
 
 R = Registry()
@@ -102,7 +102,7 @@ class Vocabulary:
 
     def encode_each(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """(ids of some stretches joined, how many are each one's)."""
-        parts = [m for t in texts for m in self.split(t)]
+        parts = [m for t in joined(texts, irregular(texts)) for m in self.split(t)]
         # One pass maps the bytes of all matches; 0xFF is in no UTF-8 text, so it can mark where they meet.
         shown = b"\xff".join([m.encode() for m in parts]).decode("latin-1").translate(self.shown).split(self.mark)
         tokenize = self.tokenizer.model.tokenize
@@ -117,7 +117,9 @@ class Vocabulary:
         parts = []
         for run in runs(text):
             self.known.trim()
-            parts.append(self.ids.take(self.known.numbers(run)))
+            at = self.known.numbers(run)
+            self.known.settle()
+            parts.append(self.ids.take(at))
         return np.concatenate(parts) if parts else np.zeros(0, np.int32)
 
     def decode(self, ids: np.ndarray) -> bytes:

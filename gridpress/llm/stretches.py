@@ -73,13 +73,28 @@ class Known:
             self.forget()
 
     def numbers(self, run: str) -> np.ndarray:
+        """Numbers of a run's stretches; what they stand for is known after ``settle``."""
         found = CUT.split(run)
-        out = np.fromiter(map(self.number.__getitem__, found), np.int64, len(found))
+        return np.fromiter(map(self.number.__getitem__, found), np.int64, len(found))
+
+    def settle(self) -> None:
         if self.number.new:
             new, self.number.new = self.number.new, []
             self.chars += sum(map(len, new))
             self.learn(new)
-        return out
+
+
+def joined(stretches: list[str], alone: np.ndarray) -> list[str]:
+    """Stretches in longer texts that may be cut between them; those marked ``alone`` stay so."""
+    if not alone.any():
+        return ["".join(stretches)]
+    new = np.flatnonzero(alone | np.concatenate([[True], alone[:-1]]))
+    return ["".join(stretches[a:b]) for a, b in zip(new, np.append(new[1:], len(stretches)), strict=True)]
+
+
+def irregular(stretches: list[str]) -> np.ndarray:
+    """Stretches that do not begin with a space, or end with white space: what is beside them matters."""
+    return np.array([s[0] != " " or s[-1].isspace() for s in stretches], bool)
 
 
 class Lists:
