@@ -216,7 +216,11 @@ def kneser_ney(texts):
     return p
 
 
-def test_kneser_ney_against_dictionaries(spark):
+@pytest.mark.parametrize("slots", [quality.HOT_SLOTS, 32])
+def test_kneser_ney_against_dictionaries(spark, monkeypatch, slots):
+    # Most grams are then looked up in the shards.
+    plain = quality._hot
+    monkeypatch.setattr(quality, "_hot", lambda model: tuple(np.where(np.arange(quality.HOT_SLOTS) % (quality.HOT_SLOTS // slots) == 0, x, 0) for x in plain(model)))
     rng = random.Random(2)
     texts = [[f"w{int(rng.paretovariate(0.7)) % 40}" for _ in range(rng.randrange(1, 30))] for _ in range(120)]
     model, unknown = quality.train(spark.createDataFrame([(" ".join(t),) for t in texts[:100]], "text string"))
