@@ -16,6 +16,7 @@ from gridpress.plans.source_config import config_checks
 from gridpress.session import scratch_root
 from gridpress.sources import jsonrows as J
 from gridpress.sources.delimited import read_delimited
+from gridpress.sources.jsonindex import array_rows
 from gridpress.sources.landing import dispatch, size_guard
 from workloads.base import Registry, Tables
 from workloads.catalog import CTE, columns, datasets
@@ -24,6 +25,43 @@ R = Registry()
 
 # --- JSON -------------------------------------------------------------------
 
+
+def _array_files(t: Tables, head: str, tail: str) -> str:
+    """All orders as arrays in four files, each one JSON value over many lines."""
+    group = F.pmod("o_orderkey", F.lit(4))
+    ends = t.orders.groupBy(group.alias("g")).agg(F.min("o_orderkey").alias("first"), F.max("o_orderkey").alias("last"))
+    record = F.to_json(F.struct("o_orderkey", F.concat(F.lit('a,"b" ]} '), "o_orderpriority").alias("note"), F.array(F.struct("o_custkey")).alias("who")))
+    before = F.when(F.col("o_orderkey") == F.col("first"), F.lit(head)).otherwise(F.lit(""))
+    after = F.when(F.col("o_orderkey") == F.col("last"), F.lit(tail)).otherwise(F.lit(","))
+    lines = t.orders.withColumn("g", group).join(ends, "g").select("g", "o_orderkey", F.concat(before, record, after).alias("value"))
+    path = f"{scratch_root(t.spark)}/gridpress/json-{uuid.uuid4().hex}"
+    lines.repartition(4, "g").sortWithinPartitions("g", "o_orderkey").select("g", "value").write.partitionBy("g").text(path)
+    return path
+
+
+ARRAYS = """SELECT CAST(o_orderkey % 4 AS BIGINT) AS g, CAST(row_number() OVER (PARTITION BY o_orderkey % 4 ORDER BY o_orderkey) - 1 AS BIGINT) AS pos,
+  o_orderkey, 'a,"b" ]} ' || o_orderpriority AS note, o_custkey FROM orders"""
+
+
+def _array_rows(t: Tables, path: str, json_path: str | None) -> DataFrame:
+    rows, _ = array_rows(t.spark, path, json_path)
+    row = F.from_json("_t", "o_orderkey bigint, note string, who array<struct<o_custkey: bigint>>").alias("r")
+    group = F.regexp_extract("_file", r"g=(\d)", 1).cast("long").alias("g")
+    return rows.select(group, F.col("_pos").alias("pos"), row).select("g", "pos", "r.o_orderkey", "r.note", F.col("r.who")[0]["o_custkey"].alias("o_custkey"))
+
+
+@R.add(ARRAYS)
+def json_array_file(t: Tables) -> DataFrame:
+    """Elements of files that are one array each."""
+    return _array_rows(t, _array_files(t, "[", "]"), None)
+
+
+@R.add(ARRAYS)
+def json_array_path(t: Tables) -> DataFrame:
+    """Elements of the array at a path of each file."""
+    return _array_rows(t, _array_files(t, '{"n":[1,2],"data":[0,{"x":{"list":[9]},"list":[', ']}],"end":"]"}'), "data.1.list")
+
+
 RECORD = """named_struct('id', o_orderkey, 'cliente', named_struct('clave', o_custkey, 'nivel', named_struct('p', o_orderpriority)),
   'tags', array(o_orderstatus, o_orderpriority), 'total', o_totalprice)"""
 
