@@ -32,7 +32,8 @@ from gridpress.plans.source_config import config_checks
 from gridpress.plans.store import Store, Version
 from gridpress.session import scratch_root
 from gridpress.sources.delimited import normalize_delimited, read_delimited
-from gridpress.sources.jsonrows import read_json
+from gridpress.sources.jsonindex import read_json_files
+from gridpress.sources.jsonrows import JsonTable, read_json
 from gridpress.sources.landing import archive, manifest, read_payloads
 
 Result = tuple[NormalizedTable, dict]
@@ -44,8 +45,18 @@ def _require(config: dict, key: str) -> str:
     return config[key]
 
 
+def _landed_json(spark: SparkSession, files: str, source: str, path: str | None, any_shape: bool, max_bytes: int | None) -> NormalizedTable:
+    """Rows of landed JSON; where no limit bounds a file, its elements are read apart by many tasks."""
+    if max_bytes is None and "," not in (path or ""):
+        return _accepted(read_json_files(spark, files, source, path, any_shape))
+    return _json(read_payloads(spark, files, None), source, path, any_shape)
+
+
 def _json(payloads, source: str, path: str | None, any_shape: bool) -> NormalizedTable:
-    found = read_json(payloads, source, path, any_shape)
+    return _accepted(read_json(payloads, source, path, any_shape))
+
+
+def _accepted(found: JsonTable) -> NormalizedTable:
     refused = found.rejects.take(1)
     if refused:
         raise UnprocessableContent(f"payload refused: {refused[0]['status']}", status=refused[0]["status"])
@@ -79,7 +90,7 @@ def _landed(spark: SparkSession, config: dict, max_bytes: int | None) -> tuple[s
 def ingest_api(spark: SparkSession, config: dict, max_bytes: int | None = DEFAULT_MAX_BYTES) -> Result:
     """Landed JSON whose rows are the array at ``jsonPath``."""
     path, size = _landed(spark, config, max_bytes)
-    table = _json(read_payloads(spark, path, None), "api", config.get("jsonPath"), False)
+    table = _landed_json(spark, path, "api", config.get("jsonPath"), False, max_bytes)
     return table, {"method": "api-json", "bytes": size, "source_url": config["url"]}
 
 
@@ -101,7 +112,7 @@ def ingest_url(spark: SparkSession, config: dict, max_bytes: int | None = DEFAUL
     path, size = _landed(spark, config, max_bytes)
     meta["bytes"] = size
     if reader == "json":
-        return _json(read_payloads(spark, path, None), "url", None, False), meta
+        return _landed_json(spark, path, "url", None, False, max_bytes), meta
     delimiter = "\t" if chosen["ext"] == "tsv" else ","
     return normalize_delimited(read_delimited(spark, path, delimiter, multi_line=config.get("multiLine", True)), "url"), meta
 
@@ -124,7 +135,7 @@ def ingest_pdf(spark: SparkSession, config: dict, max_bytes: int | None = DEFAUL
     table = tables[0]
     shape = found.warnings.select(
         F.lit(PHASE_SHAPE).alias("phase"),
-        (F.col("row") - 1).alias("_row"),
+        "_row",
         F.lit(None).cast("int").alias("col_pos"),
         "kind",
         "detail",
@@ -173,9 +184,10 @@ def ingest(
     config = json.loads(source["config"])
     store.event("source_events", source_id, L.START, None)
     try:
-        table, meta = STRATEGIES[source["type"]](store.spark, config, max_bytes)
-        if source["type"] == "pdf" and config.get("archive"):
+        if config.get("archive"):
+            # Before anything is read: a payload that is refused is kept as well.
             archive(store.spark, config["archive"], f"{store.root}/archive", source_id, str(store.next_version(source_id)))
+        table, meta = STRATEGIES[source["type"]](store.spark, config, max_bytes)
         version = store.write_version(source_id, source["name"], table, meta, max_rows)
     except SourceConfigInvalid as error:
         store.event("source_events", source_id, L.RESTORE, str(error))

@@ -26,6 +26,7 @@ from gridpress.errors import (
 from gridpress.model import DEFAULT_MAX_ROWS, PREVIEW_ROWS, ROW, Column
 from gridpress.operators.normalize import NormalizedTable
 from gridpress.plans import lifecycle as L
+from gridpress.plans.definitions import definition_checks, reference_errors
 
 SCHEMAS = {
     "sources": "source_id string, name string, type string, description string, config string, created_at timestamp",
@@ -269,8 +270,23 @@ class Store:
         if unknown:
             raise InvalidState(f"a definition has no {', '.join(sorted(unknown))}", definition_id=fields["definition_id"])
         record = {**dict.fromkeys(names), **fields, "seq": time.time_ns()}
+        if not record.get("removed"):
+            self._check_definition(record, names)
         self.append("definitions", tuple(record[n] for n in names))
 
+    def _check_definition(self, record: dict, names: list[str]) -> None:
+        """Refuse a definition that fails a check, or pins a dataset that its source does not have."""
+        one = self.spark.createDataFrame([tuple(record[n] for n in names)], self.table("definitions").schema)
+        error = definition_checks(one).first()["error"]
+        if error is None and record.get("dataset_id") is not None:
+            pinned = self.table("datasets").where(F.col("dataset_id") == record["dataset_id"])
+            if reference_errors(one, pinned).take(1):
+                error = "DATASET_OF_OTHER_SOURCE"
+            elif not pinned.take(1):
+                error = "DATASET_NOT_FOUND"
+        if error:
+            raise UnprocessableContent(f"definition refused: {error}", error=error, definition_id=record["definition_id"])
+
     def definitions(self) -> DataFrame:
         """The last state of each definition; those of removed sources count as disabled."""
         removed = (

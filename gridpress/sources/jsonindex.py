@@ -26,6 +26,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from gridpress.session import stage
+from gridpress.sources.jsonrows import JsonTable, flatten_rows, normalize_json, numbered
 
 #: Begins a member of an object: its name and the colon.
 _MEMBER = r'^\s*("(?:[^"\\]++|\\.)*+")\s*+:\s*+'
@@ -225,3 +226,10 @@ def array_rows(spark: SparkSession, path: str | list[str], json_path: str | None
     state = stage(state.select("_file", final.alias("status")), "state")
     good = elements.join(state.where("status = 'ok'").select("_file"), "_file", "left_semi")
     return good.select("_file", "_pos", "_t", "_v"), state.where("status <> 'ok'")
+
+
+def read_json_files(spark: SparkSession, path: str | list[str], source: str, json_path: str | None = None, any_shape: bool = True) -> JsonTable:
+    """Normalise all rows of JSON files of any size, in path and element order."""
+    rows, rejects = array_rows(spark, path, json_path, any_shape)
+    flat = stage(flatten_rows(rows), "json")
+    return JsonTable(normalize_json(numbered(flat, "_file"), source), rejects)

@@ -260,11 +260,11 @@ def read_json(
     rows = stage(flatten_rows(explode_rows(located, [order])), "json")
     rejects = payload_rejects(located, [order])
     # One count per payload gives its offset: payloads are files, not rows.
-    numbered = _number(rows, order)
-    return JsonTable(normalize_json(numbered, source), rejects)
+    return JsonTable(normalize_json(numbered(rows, order), source), rejects)
 
 
-def _number(rows: DataFrame, order: str) -> DataFrame:
+def numbered(rows: DataFrame, order: str) -> DataFrame:
+    """``_row`` and ``cells`` of flattened rows, in the order of their payloads and positions."""
     sizes = rows.groupBy(order).agg(F.count(F.lit(1)).alias("_n"), F.min("_pos").alias("_min"))
     offsets = group_offsets(sizes, [order], "_n")
     place = F.col("_offset") + F.col("_pos") - F.col("_min")

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from gridpress import errors as E
-from gridpress.plans.ingest import ingest, register
+from gridpress.plans.ingest import ingest, ingest_api, register
 from gridpress.plans.serve import serve
 from gridpress.plans.store import Store
 from gridpress.sources import jsonrows as J
@@ -250,3 +250,33 @@ def test_definition_writes_fold(spark, tmp_path):
     assert store.definitions().count() == 0
     store.create_definition("d2", "prices")
     assert store.definitions().count() == 1
+
+
+def test_definitions_are_checked_when_written(spark, tmp_path):
+    store = Store(spark, str(tmp_path / "catalog"))
+    for fields, error in (
+        ({"slug": "No Good"}, "SLUG_INVALID"),
+        ({"slug": "prices", "default_limit": 900, "max_limit": 100}, "LIMITS_INVALID"),
+        ({"slug": "prices", "follow_latest": False}, "DATASET_REQUIRED"),
+        ({"slug": "prices", "source_id": "s1", "dataset_id": "none"}, "DATASET_NOT_FOUND"),
+    ):
+        with pytest.raises(E.UnprocessableContent) as refused:
+            store.create_definition("d1", **fields)
+        assert refused.value.details["error"] == error
+    store.create_definition("d1", "prices", source_id="s1")
+    with pytest.raises(E.UnprocessableContent):
+        store.update_definition("d1", default_limit=0)
+    store.remove_definition("d1")
+
+
+def test_large_json_files_are_ingested_like_small_ones(spark, tmp_path):
+    (tmp_path / "a.json").write_text('{"data": {"list": [{"k": "a,b", "n": {"x": 1}}, {"k": "c"}]}}')
+    (tmp_path / "b.json").write_text('{"data": {"list": [{"k": "d", "n": {"x": 2}}]}}')
+    config = {"landed": str(tmp_path), "url": "http://h/", "jsonPath": "data.list"}
+    small, _ = ingest_api(spark, config)
+    large, _ = ingest_api(spark, config, max_bytes=None)
+    assert [c.key for c in large.columns] == [c.key for c in small.columns]
+    assert large.rows.orderBy("_row").collect() == small.rows.orderBy("_row").collect()
+    (tmp_path / "c.json").write_text('{"data": {"list": []}}')
+    with pytest.raises(E.UnprocessableContent):
+        ingest_api(spark, config, max_bytes=None)

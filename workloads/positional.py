@@ -209,7 +209,7 @@ def hinted_headers(t: Tables) -> DataFrame:
   'row ' || CAST(r AS VARCHAR) || ' had 3 cells, expected 4' AS detail
 FROM r JOIN p USING (doc_id, page) WHERE disc IS NULL AND cols = 4""")
 def extraction_warnings(t: Tables) -> DataFrame:
-    return P.extract_tables(fragments(t)).warnings.drop("table_index")
+    return P.extract_tables(fragments(t)).warnings.drop("table_index", "_row")
 
 
 @R.add(f"""WITH {ROWS_SQL}, w AS (SELECT DISTINCT doc_id FROM p), q AS (SELECT doc_id, count(*) AS n FROM p WHERE page <= 2 GROUP BY 1)
