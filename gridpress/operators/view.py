@@ -14,7 +14,7 @@ from dataclasses import dataclass
 from datetime import datetime, timezone
 
 from pyspark.sql import Column as C
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -108,6 +108,23 @@ def _literal(value, spark_type: T.DataType) -> C:
 
 # --- predicates -----------------------------------------------------------
 
+#: A longer list of values is a frame that is joined, so the plan stays as small as for a short one.
+INLINE_VALUES = 500
+
+
+def listed_values(spark: SparkSession, values: list, spark_type: T.DataType, name: str) -> DataFrame:
+    """The distinct values of a list as a frame of one column, of a type that compares with the field's."""
+    if isinstance(values[0], datetime):
+        zone = "Z" if isinstance(spark_type, T.TimestampType) else ""
+        texts = {v.strftime("%Y-%m-%d %H:%M:%S.%f") + zone for v in values}
+        return spark.createDataFrame([(t,) for t in sorted(texts)], f"{name} string").select(F.col(name).cast(spark_type))
+    if isinstance(values[0], float):
+        whole = isinstance(spark_type, T.IntegralType) and all(v.is_integer() and abs(v) < 2**63 for v in values)
+        numbers = {int(v) for v in values} if whole else set(values)
+        return spark.createDataFrame([(v,) for v in sorted(numbers)], f"{name} {'bigint' if whole else 'double'}")
+    return spark.createDataFrame([(v,) for v in sorted(set(values))], f"{name} {'boolean' if isinstance(values[0], bool) else 'string'}")
+
+
 
 def cell_text(c: C, column_type: str) -> C:
     """Text form of a cell, as compared by ``contains`` and ``starts_with``."""
@@ -346,11 +363,19 @@ def view(
     request = parse_request(params or {}, definition, columns)
     types = {c.key: c.type for c in columns}
     spark_types = {f.name: f.dataType for f in df.schema.fields}
+    long = [f for f in request.filters if f[1] == "in" and len(f[2]) > INLINE_VALUES]
     conditions = [
         predicate(F.col(field), types[field], spark_types[field], op, value)
         for field, op, value in request.filters
+        if (field, op, value) not in long
     ]
     filtered = df.where(functools.reduce(operator.and_, conditions)) if conditions else df
+    for field, _, values in long:
+        name = "_listed"
+        while name in df.columns:
+            name += "_"
+        listed = listed_values(df.sparkSession, values, spark_types[field], name)
+        filtered = filtered.join(listed, F.col(field) == F.col(name), "left_semi")
     order = order_columns(request.sort, tie_break or [ROW])
     projection = list(request.fields if request.fields is not None else [c.key for c in columns])
     return View(request, filtered, order, projection)

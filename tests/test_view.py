@@ -102,6 +102,27 @@ def test_pages_beyond_32_bit_offsets_are_empty(spark):
     assert asked.stats.first().asDict() == {"total": 50, "count": 0, "page": 10**9, "limit": 500, "pages": 1}
 
 
+@pytest.mark.parametrize(
+    ("column", "kind", "values"),
+    [
+        ("id", "number", [str(i) for i in range(0, 3000, 3)] + ["1.5", "7.0"]),
+        ("half", "number", [f"{i / 2}" for i in range(0, 3000, 7)]),
+        ("name", "string", [f"n{i}" for i in range(0, 3000, 5)]),
+        ("day", "date", [f"20{i // 336:02}-{i // 28 % 12 + 1:02}-{i % 28 + 1:02}" for i in range(0, 2600, 3)]),
+    ],
+)
+def test_long_lists_equal_short_ones(spark, monkeypatch, column, kind, values):
+    df = spark.range(3000).selectExpr("id AS _row", "nullif(id, 6) AS id", "id / 2D AS half", "concat('n', id) AS name", "timestamp_millis(86400000 * (10957 + id)) AS day")
+    columns = [Column(c, k) for c, k in (("id", "number"), ("half", "number"), ("name", "string"), ("day", "date"))]
+    asked = lambda: V.view(df, Definition("v", filters=(FilterRule(column, "in"),)), {column: ",".join(values)}, columns).filtered
+    monkeypatch.setattr(V, "INLINE_VALUES", 10**6)
+    short = asked()
+    monkeypatch.setattr(V, "INLINE_VALUES", 10)
+    long = asked()
+    assert sorted(long.collect()) == sorted(short.collect()) and long.count() > 100
+    assert len(long._jdf.queryExecution().analyzed().toString()) < 3000
+
+
 def test_projection(rows):
     definition = Definition("v", fields=("note", "code"))
     assert V.view(rows, definition, {}, COLUMNS).page.columns == ["note", "code"]

@@ -64,6 +64,13 @@ def view_in(t: Tables) -> DataFrame:
     return _orders("o_orderpriority", "in", "1-URGENT, 5-LOW ,")(t)
 
 
+@R.add("""SELECT o_orderkey, o_orderdate, o_totalprice, o_orderpriority FROM orders
+WHERE o_orderkey < 400000 AND o_orderkey % 4 = 1""")
+def view_in_long(t: Tables) -> DataFrame:
+    """A list of 100,000 values."""
+    return _orders("o_orderkey", "in", ",".join(map(str, range(1, 400_000, 4))))(t)
+
+
 @R.add("""SELECT o_orderkey, o_orderdate, o_totalprice, o_orderpriority FROM orders
 WHERE o_totalprice BETWEEN 100000 AND 200000""")
 def view_between(t: Tables) -> DataFrame:
