@@ -19,6 +19,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -79,24 +80,14 @@ def _sharded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(shard, pa.int32()), *batch.columns], ["shard", *batch.schema.names])
 
 
-def _packed(table: pa.Table, names: list[str]) -> pa.Table:
-    keys = table["key"].to_numpy().view(np.uint64)
-    order = np.argsort(keys)
-    columns = [keys[order], *[table[c].to_numpy()[order] for c in names]]
-    raw = np.array([len(keys)], np.uint64).tobytes() + b"".join(c.tobytes() for c in columns)
-    return pa.table({"shard": table["shard"][:1], "packed": pa.array([raw], pa.binary())})
-
-
-def _answer(table: pa.Table, kinds: list[np.dtype]) -> pa.Table:
+def _answer(table: pa.Table, kinds: list[np.dtype], names: list[str]) -> pa.Table:
     """Partial sums of a shard's postings, a row per block."""
-    held = table["packed"].drop_null()
-    keys, values = np.zeros(0, np.uint64), [np.zeros(0, k) for k in kinds]
-    if len(held):
-        raw = held[0].as_buffer()
-        n = int(np.frombuffer(raw, np.uint64, 1)[0])
-        keys = np.frombuffer(raw, np.uint64, n, 8)
-        values = [np.frombuffer(raw, k, n, 8 + 8 * n * (i + 1)) for i, k in enumerate(kinds)]
-    asked = table.filter(pa.compute.is_valid(table["posting"]))
+    valued = pa.compute.is_valid(table["key"])
+    held, asked = table.filter(valued), table.filter(pa.compute.invert(valued))
+    keys = held["key"].to_numpy().view(np.uint64)
+    order = np.argsort(keys)
+    keys = keys[order]
+    values = [held[n].to_numpy()[order] for n in names]
     out = []
     for posting in asked["posting"]:
         size, wanted, per_key, doc, n = opened(posting.as_py())
@@ -143,11 +134,12 @@ def summed(docs: DataFrame, asked: DataFrame, values: DataFrame) -> DataFrame:
     blocks = asked.select("block").distinct().count()
     parts = max(1, -(-blocks // PART_BLOCKS))
     listed = ", ".join(f"{c} {types[c]}" for c in names)
-    shards = values.mapInArrow(_sharded, f"shard int, key bigint, {listed}").groupBy("shard")
-    packed = shards.applyInArrow(lambda rows: _packed(rows, names), "shard int, packed binary")
-    copies = packed.select("shard", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("part"), F.lit(None).cast("bigint").alias("block"), F.lit(None).cast("binary").alias("posting"), "packed")
-    dealt = asked.select("shard", F.pmod(F.xxhash64("block"), F.lit(parts)).cast("int").alias("part"), "block", "posting", F.lit(None).cast("binary").alias("packed"))
-    answers = dealt.unionByName(copies).groupBy("shard", "part").applyInArrow(lambda rows: _answer(rows, kinds), "block bigint, sums binary")
+    shards = values.mapInArrow(_sharded, f"shard int, key bigint, {listed}")
+    none = lambda kind: F.lit(None).cast(kind)
+    copies = shards.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1)))).select("shard", "part", none("bigint").alias("block"), none("binary").alias("posting"), "key", *names)
+    part = F.pmod(F.xxhash64("block"), F.lit(parts)).cast("int").alias("part")
+    dealt = asked.select("shard", part, "block", "posting", none("bigint").alias("key"), *[none(types[c]).alias(c) for c in names])
+    answers = dealt.union(copies).groupBy("shard", "part").applyInArrow(lambda rows: _answer(rows, kinds, names), "block bigint, sums binary")
     own = [f for f in docs.schema if f.name not in ("block", "place", "asked")]
     schema = ", ".join([*[f"`{f.name}` {f.dataType.simpleString()}" for f in own], listed])
     both = docs.groupBy("block").cogroup(answers.groupBy("block"))
