@@ -12,8 +12,9 @@ import uuid
 from dataclasses import dataclass
 from datetime import datetime, timezone
 
+from py4j.protocol import Py4JJavaError
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from gridpress.errors import (
@@ -27,6 +28,7 @@ from gridpress.model import DEFAULT_MAX_ROWS, PREVIEW_ROWS, ROW, Column
 from gridpress.operators.normalize import NormalizedTable
 from gridpress.plans import lifecycle as L
 from gridpress.plans.definitions import definition_checks, reference_errors
+from gridpress.session import discard
 
 SCHEMAS = {
     "sources": "source_id string, name string, type string, description string, config string, created_at timestamp",
@@ -117,8 +119,28 @@ class Store:
         return table.where((F.col("source_id") == source_id) & (F.col("version") == version)).take(1)
 
     def next_version(self, source_id: str) -> int:
+        """One above all versions listed or claimed: a writer that broke off after its claim leaves a gap."""
         newest = self.table("datasets").where(F.col("source_id") == source_id).agg(F.max("version")).first()[0]
-        return (newest or 0) + 1
+        folder = self._path(self._claims(source_id))
+        files = folder.getFileSystem(self.spark._jsc.hadoopConfiguration())
+        claimed = [int(f.getPath().getName()) for f in files.listStatus(folder)] if files.exists(folder) else []
+        return max([newest or 0, *claimed]) + 1
+
+    def _path(self, text: str):
+        return self.spark._jvm.org.apache.hadoop.fs.Path(text)
+
+    def _claims(self, source_id: str) -> str:
+        return f"{self.root}/catalog/claims/source_id={source_id}"
+
+    def _claim(self, source_id: str, version: int) -> None:
+        """Take a version by creating a file that must not be there yet."""
+        path = self._path(f"{self._claims(source_id)}/{version}")
+        try:
+            path.getFileSystem(self.spark._jsc.hadoopConfiguration()).create(path, False).close()
+        except Py4JJavaError as error:
+            if "FileAlreadyExists" not in error.java_exception.getClass().getName():
+                raise
+            raise VersionConflict(f"version {version} of {source_id} exists", source_id=source_id) from None
 
     def write_version(
         self,
@@ -132,27 +154,26 @@ class Store:
         """Store a normalised table as the next, immutable version.
 
         Above ``max_rows`` nothing is stored; rows are never cut off. Rows go
-        to a folder of this attempt, and the catalog record that names it is
-        written last, so an attempt that broke off is never in the way.
+        to a folder of this attempt and are counted as they are written, so
+        the source is read once. The catalog record that names the folder is
+        written last, so an attempt that broke off is never in the way; of
+        two writers of one version, the one that claims it first has it.
         """
         started = time.time()
-        if max_rows is not None:
-            over = table.rows.select(ROW).limit(max_rows + 1).count()
-            if over > max_rows:
-                raise RowsLimitExceeded(f"more than {max_rows} rows", limit=max_rows)
         version = version or self.next_version(source_id)
         self._free(source_id, version)
         attempt = uuid.uuid4().hex
         path = self.rows_path(source_id, version, attempt)
-        table.rows.write.parquet(path)
-        row_count = self.spark.read.parquet(path).count()
-        if row_count == 0:
+        row_count = _written(table.rows, path)
+        if row_count == 0 or (max_rows is not None and row_count > max_rows):
+            discard(self.spark.read.parquet(path))
+            if row_count:
+                raise RowsLimitExceeded(f"more than {max_rows} rows", limit=max_rows)
             raise UnprocessableContent("the source has no rows")
 
         dataset_id = f"{source_id}-v{version}"
         warnings_path = self._warnings_path(dataset_id, attempt)
-        table.warnings.write.parquet(warnings_path)
-        warnings_count = self.spark.read.parquet(warnings_path).count()
+        warnings_count = _written(table.warnings, warnings_path)
         self.append(
             "columns",
             *[
@@ -178,6 +199,7 @@ class Store:
             ),
         )
         self._free(source_id, version)
+        self._claim(source_id, version)
         self.append("datasets", (dataset_id, source_id, version, name, row_count, len(table.columns), warnings_count, _now(), attempt))
         return Version(dataset_id, source_id, version, row_count, len(table.columns))
 
@@ -304,5 +326,12 @@ class Store:
         )
 
 
+def _written(frame: DataFrame, path: str) -> int:
+    """Write a frame and return its number of rows, counted on the way."""
+    seen = Observation()
+    frame.observe(seen, F.count(F.lit(1)).alias("rows")).write.parquet(path)
+    return seen.get["rows"]
+
+
 def _now() -> datetime:
     return datetime.now(timezone.utc)

@@ -1,11 +1,13 @@
 """Readers, the store, and ingest to serve, end to end."""
 
 import json
+from dataclasses import replace
 
 import pytest
 from pyspark.sql import functions as F
 
 from gridpress import errors as E
+from gridpress.operators.normalize import normalize_table
 from gridpress.plans.ingest import ingest, ingest_api, register
 from gridpress.plans.serve import serve
 from gridpress.plans.store import Store
@@ -280,3 +282,33 @@ def test_large_json_files_are_ingested_like_small_ones(spark, tmp_path):
     (tmp_path / "c.json").write_text('{"data": {"list": []}}')
     with pytest.raises(E.UnprocessableContent):
         ingest_api(spark, config, max_bytes=None)
+
+
+def test_a_guarded_write_reads_its_source_once(spark, tmp_path):
+    store = Store(spark, str(tmp_path / "catalog"))
+    met = spark.sparkContext.accumulator(0)
+
+    @F.udf("string")
+    def seen(text):
+        met.add(1)
+        return text
+
+    table = normalize_table(spark.range(40).selectExpr("id AS _row", "concat('v', id) AS c"), ["c"], [F.col("c")])
+    counted = replace(table, rows=table.rows.withColumn("c", seen("c")))
+    version = store.write_version("s1", "one", counted, max_rows=40)
+    assert (version.row_count, met.value) == (40, 40)
+    with pytest.raises(E.RowsLimitExceeded):
+        store.write_version("s1", "one", counted, max_rows=39)
+    assert met.value == 80 and store.next_version("s1") == 2
+    assert not list((tmp_path / "catalog/rows/source_id=s1/version=2").rglob("*.parquet"))
+
+
+def test_one_of_two_writers_has_the_version(spark, tmp_path):
+    store = Store(spark, str(tmp_path / "catalog"))
+    store._claim("s1", 1)
+    with pytest.raises(E.VersionConflict):
+        store._claim("s1", 1)
+    table = normalize_table(spark.range(3).selectExpr("id AS _row", "concat('v', id) AS c"), ["c"], [F.col("c")])
+    with pytest.raises(E.VersionConflict):
+        store.write_version("s1", "one", table, version=1)
+    assert store.write_version("s1", "one", table).version == 2
