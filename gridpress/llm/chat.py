@@ -12,7 +12,8 @@ conversation's pieces in order with a small state, as its digests are
 sequential; no conversation is ever held whole.
 
 Edge cases. Null texts and roles read as empty. Equal (conv_id, turn) rows are
-turns of their own, ordered by role, then by a hash of the text. Null ids form
+turns of their own, ordered by role, then by a hash of the text. Texts of any
+length are rendered and read back whole. Null ids form
 one conversation. An empty table gives an empty result. Other columns are
 ignored.
 """

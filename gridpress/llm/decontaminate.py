@@ -12,7 +12,9 @@ window hash to several automata that scan in turn, their hits united.
 Edge cases. Null or wordless texts have no words and no hits; a null or
 wordless item has no window. An item shorter than a window is one window. A
 null item id counts as an item whose id is written as nothing; repeated ids
-count once. Repeated rows are answered one by one. Other columns are ignored.
+count once. Very long texts are scanned whole. Without documents the result is
+empty, without items nothing is hit. Repeated rows are answered one by one.
+Other columns are ignored.
 """
 
 from __future__ import annotations

@@ -200,7 +200,7 @@ def _block(docs: DataFrame, terms: DataFrame, k: int) -> DataFrame | None:
     schema = "doc_id bigint, n bigint, terms array<int>, counts array<int>, docs bigint, total bigint"
     rows = stage(docs.mapInArrow(partial(_occurrences, vocabulary=spark.sparkContext.broadcast(vocabulary)), schema), "occurrences")
     told = rows.filter("docs is not null")
-    n_docs, total = told.agg(F.sum("docs"), F.sum("total")).first()
+    n_docs, total = (x or 0 for x in told.agg(F.sum("docs"), F.sum("total")).first())
     df = np.zeros(len(vocabulary))
     each = told.select(F.explode(F.arrays_zip("terms", "counts")).alias("x")).groupBy("x.terms").agg(F.sum("x.counts"))
     for term, count in each.collect():  # a row per wanted term

@@ -29,7 +29,8 @@ Recall. Two classes of Jaccard similarity s miss each other with probability
 (1 - s**min_depth)**trees, crowded or not: 8e-6 at s = 0.85, 2e-4 at 0.8.
 Signatures too far apart by chance (``SLACK``) add some 3e-6. Shingles and classes are told apart by 64-bit hashes.
 
-Edge cases. Null or blank text: empty set, linked with nothing. Repeated rows
+Edge cases. Null or blank text: empty set, linked with nothing. Very long
+texts: their whole sets, a text at a time. Repeated rows
 and equal ids: every row is answered; equal sets share a component. Null ids:
 the row stays, and the smallest non-null id names the component. An empty
 table gives an empty result. Other columns are ignored.

@@ -19,7 +19,9 @@ vocabulary travels as the model file's bytes, read on the driver.
 
 Edge cases. A null or empty text has no ids, score 0 and no alternatives.
 Decoding gives back the normalised text: a space mark in a text reads as a
-space. Ties go to the path found first, from the left. Repeated rows and null
+space. Ties go to the path found first, from the left. Very long texts are
+encoded whole, an unbroken stretch at a time. An empty table gives an empty
+result. Repeated rows and null
 ids are answered row by row. Other columns are ignored.
 """
 

@@ -18,7 +18,8 @@ consumed its text. ``RULES`` find a private key by its BEGIN line, as the SQL
 does; ``REMOVED``, for redaction, covers the block to its END line, or to the
 end of its base64 lines where END is missing.
 
-Edge cases. A null text reads as empty. Repeated rows are answered one by one,
+Edge cases. A null text reads as empty; very long texts are scanned whole.
+Spans with equal starts come in the order of their rules. Repeated rows are answered one by one,
 null ids too. An empty table gives an empty result. Other columns are ignored.
 """
 
