@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import re
 import unicodedata
 
@@ -47,17 +48,38 @@ def _accent_table(form: str, lowercase: bool) -> tuple[str, str]:
     return "".join(source), "".join(target)
 
 
-_KEY_FROM, _KEY_TO = _accent_table("NFKD", lowercase=True)
+def _key_table() -> tuple[str, str, dict[str, str]]:
+    """Characters beyond ASCII that fold to one letter or digit, with it, and those that fold to several characters."""
+    source, target, several = [], [], {}
+    for code in range(0x0080, 0x10000):
+        if 0xD800 <= code < 0xE000:
+            continue
+        plain = re.sub(COMBINING_MARKS, "", unicodedata.normalize("NFKD", chr(code))).lower()
+        kept = re.sub("[^a-z0-9]+", "_", plain)
+        if len(kept) == 1 and kept != "_":
+            source.append(chr(code))
+            target.append(kept)
+        elif len(kept) > 1:
+            several[chr(code)] = kept
+    return "".join(source), "".join(target), several
+
+
+_KEY_FROM, _KEY_TO, _KEY_SEVERAL = _key_table()
+_KEY_SEVERAL_JSON, _KEY_SEVERAL_CLASS = json.dumps(_KEY_SEVERAL), f"[{''.join(_KEY_SEVERAL)}]"
 _SLUG_FROM, _SLUG_TO = _accent_table("NFD", lowercase=False)
 
 
 def header_key_expr(header: Column, position: Column) -> Column:
     """Column key of a header text, for bulk use over many headers.
 
-    ``position`` is 0-based. Accents are folded one character at a time;
-    for the headers of a single table use :func:`header_key`, which also
-    covers compatibility forms that expand to several letters.
+    ``position`` is 0-based. Characters are folded one at a time, those of
+    compatibility forms (ligatures, fractions, circled or full-width signs)
+    to as many as they stand for; beyond U+FFFF nothing is folded.
     """
+    # A map that the optimizer reads once; only texts that need it are cut into characters.
+    several = F.from_json(F.lit(_KEY_SEVERAL_JSON), "map<string,string>")
+    spread = F.array_join(F.transform(F.split(header, ""), lambda ch: F.coalesce(several[ch], ch)), "")
+    header = F.when(header.rlike(_KEY_SEVERAL_CLASS), spread).otherwise(header)
     folded = F.lower(F.translate(F.regexp_replace(header, COMBINING_MARKS, ""), _KEY_FROM, _KEY_TO))
     slug = F.regexp_replace(F.regexp_replace(folded, "[^a-z0-9]+", "_"), "^_+|_+$", "")
     fallback = F.concat(F.lit("col_"), (position + 1).cast("string"))

@@ -99,6 +99,15 @@ def test_strict_gate_leaves_signs_and_currency_as_text(spark):
     assert kinds == ["string", "string", "string", "number", "number"]
 
 
+def test_bulk_header_keys_fold_every_character(spark):
+    chars = [chr(c) for c in range(0x20, 0x10000) if not 0xD800 <= c < 0xE000]
+    headers = [f"x{c}Y{c}" for c in chars] + ["½ ﬁn Ⅻ", "ｆｕｌｌ－ｗｉｄｔｈ", "㎏/㎡", "①②", "…"]
+    rows = spark.createDataFrame(list(enumerate(headers)), "i int, h string").repartition(8)
+    got = {r.i: r.key for r in rows.select("i", T.header_key_expr(F.col("h"), F.col("i")).alias("key")).collect()}
+    wrong = [(h, got[i], T.header_key(h, i)) for i, h in enumerate(headers) if got[i] != T.header_key(h, i)]
+    assert not wrong, (len(wrong), wrong[:5])
+
+
 def test_header_keys(spark):
     headers = ["Precio Final ($)", "Código %", "  --Suma---Total--  ", "ok", "", "***", "2030", "2do Año", "½ kg"]
     expected = ["precio_final", "codigo", "suma_total", "ok", "col_5", "col_6", "col_2030", "col_2do_ano", "col_1_2_kg"]
