@@ -278,3 +278,14 @@ def test_lexical_search_with_ties_blocks_and_gaps(spark, item_bytes):
     got = lexical.search(d, i, k=7, item_bytes=item_bytes)
     assert sorted([tuple(r) for r in got.collect()], key=str) == brute_search(docs, items, 7)
     assert lexical.search(d.filter("false"), i).count() == 0 and lexical.search(d, i.filter("false")).count() == 0
+
+
+def test_filters_hold_all_their_keys(spark):
+    from gridpress.llm.filters import filter_of, may_hold
+
+    rng = np.random.default_rng(9)
+    keys = rng.integers(-(1 << 63), (1 << 63) - 1, 20_000)
+    bits = np.frombuffer(filter_of(spark.createDataFrame([(int(k),) for k in keys], "key bigint"), both=True), np.uint8)
+    assert may_hold(bits, keys.view(np.uint64)).all()
+    others = rng.integers(0, (1 << 63) - 1, 200_000).astype(np.uint64)
+    assert may_hold(bits, others).mean() < 1e-4
