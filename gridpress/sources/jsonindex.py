@@ -3,8 +3,8 @@
 A file is read as pieces between commas, split wherever the file system splits
 it, so a file of one line is no hindrance. What a piece does to the state of
 the text (inside a string or not) and to the depth of brackets is counted for
-both states it may begin in; sums over the pieces of a split, then over the
-splits of a file, give each piece its true state, depth and number. That is a
+both states it may begin in; sums over the pieces of a stretch of a split, then
+over the stretches of a file, give each piece its true state, depth and number. That is a
 structural index: a comma separates two elements of an array exactly if the
 text is outside strings there, at the array's depth. Pieces of an element are
 brought together and parsed on their own, so no value is larger than an
@@ -30,7 +30,9 @@ from gridpress.sources.jsonrows import JsonTable, flatten_rows, normalize_json,
 
 #: Begins a member of an object: its name and the colon.
 _MEMBER = r'^\s*("(?:[^"\\]++|\\.)*+")\s*+:\s*+'
-FILE, SPLIT = ["_file"], ["_file", "_block"]
+#: Pieces of a split that are summed in one window: 2 to this power.
+STRETCH_BITS = 14
+FILE, STRETCH = ["_file"], ["_file", "_block", "_stretch"]
 
 
 def _turn(s: int):
@@ -59,34 +61,36 @@ def structural_index(spark: SparkSession, path: str | list[str]) -> DataFrame:
     pieces = scan.select(
         F.col("value").alias("_text"), F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_block_start").alias("_block")
     ).withColumn("_id", F.monotonically_increasing_id())
+    # Ids count the pieces of a split one by one, so a stretch is no longer than that, whatever the split.
+    pieces = pieces.withColumn("_stretch", F.shiftright("_id", STRETCH_BITS))
     pieces = _outside(pieces).withColumns({f"_net{s}": _net(F.col(f"_out{s}")) for s in (0, 1)})
-    w = W.partitionBy(*SPLIT).orderBy("_id")
+    w = W.partitionBy(*STRETCH).orderBy("_id")
     before = w.rowsBetween(W.unboundedPreceding, -1)
     sums = lambda x: F.coalesce(F.sum(x).over(before), F.lit(0))
     pieces = pieces.withColumns({"_quotes": sums("_q"), "_at": F.row_number().over(w).cast("long") - 1})
-    # Depths if the split begins outside a string, and if it begins inside.
+    # Depths if the stretch begins outside a string, and if it begins inside.
     turned = F.col("_quotes") % 2 == 1
     net = {h: F.when(turned == F.lit(h == 1), F.col("_net0")).otherwise(F.col("_net1")) for h in (0, 1)}
     pieces = pieces.withColumns({f"_to{h}": net[h] for h in (0, 1)})
     pieces = pieces.withColumns({f"_deep{h}": sums(f"_to{h}") for h in (0, 1)})
     pieces = stage(pieces.drop("_net0", "_net1"), "pieces")
 
-    splits = pieces.groupBy(*SPLIT).agg(
+    splits = pieces.groupBy(*STRETCH).agg(
         F.sum("_q").alias("_all_q"), F.sum("_to0").alias("_all0"), F.sum("_to1").alias("_all1"), F.count(F.lit(1)).alias("_many")
     )
-    earlier = W.partitionBy(*FILE).orderBy("_block").rowsBetween(W.unboundedPreceding, -1)
+    earlier = W.partitionBy(*FILE).orderBy("_block", "_stretch").rowsBetween(W.unboundedPreceding, -1)
     total = lambda x: F.coalesce(F.sum(x).over(earlier), F.lit(0))
     splits = splits.withColumn("_first", total("_all_q") % 2 == 1)
     splits = splits.withColumn("_all", F.when(F.col("_first"), F.col("_all1")).otherwise(F.col("_all0")))
-    splits = splits.select(*SPLIT, "_first", total("_all").alias("_base"), total("_many").alias("_offset"))
+    splits = splits.select(*STRETCH, "_first", total("_all").alias("_base"), total("_many").alias("_offset"))
 
-    rows = pieces.join(splits, SPLIT)
+    rows = pieces.join(splits, STRETCH)
     inside = F.col("_first") != (F.col("_quotes") % 2 == 1)
     pick = lambda name: F.when(F.col("_first"), F.col(f"{name}1")).otherwise(F.col(f"{name}0"))
     depth = F.col("_base") + pick("_deep")
     return stage(
         rows.select(
-            *SPLIT, (F.col("_offset") + F.col("_at")).alias("_n"), "_text", inside.alias("_inside"), depth.alias("_depth"),
+            *STRETCH, (F.col("_offset") + F.col("_at")).alias("_n"), "_text", inside.alias("_inside"), depth.alias("_depth"),
             (depth + pick("_to")).alias("_after"), (inside != (F.col("_q") % 2 == 1)).alias("_ends_inside"),
             F.when(inside, F.col("_out1")).otherwise(F.col("_out0")).alias("_out"),
         ),
@@ -108,20 +112,25 @@ def _roots(index: DataFrame) -> DataFrame:
     return head.select("_file", "_n", "v.at", "v.kind", F.lit(0).cast("long").alias("depth"), F.lit("ok").alias("status"))
 
 
+def _beside(index: DataFrame, files: DataFrame) -> DataFrame:
+    """Pieces with the record of their file, each where it lies: a file's pieces never meet in one task."""
+    return index.join(F.broadcast(files), "_file")
+
+
 def _ends(index: DataFrame, open_: DataFrame) -> DataFrame:
     """Add ``_end``, the piece in which a container closes."""
     named = open_.withColumnRenamed("_n", "_open")
-    inside = index.join(named.select("_file", "_open", "depth"), "_file").where("_n >= _open and _after <= depth and not _ends_inside")
+    inside = _beside(index, named.select("_file", "_open", "depth")).where("_n >= _open and _after <= depth and not _ends_inside")
     return named.join(inside.groupBy("_file").agg(F.min("_n").alias("_end")), "_file", "left").withColumnRenamed("_open", "_n")
 
 
 def _members(index: DataFrame, open_: DataFrame) -> DataFrame:
     """Pieces that begin a member of each container, with the characters of them that come before it."""
     named = _ends(index, open_).select("_file", F.col("_n").alias("_open"), "_end", "at", "depth")
-    joined = index.select("_file", "_n", "_text", "_inside", "_depth").join(named, "_file")
+    joined = _beside(index.select(*STRETCH, "_n", "_text", "_inside", "_depth"), named)
     first = F.col("_n") == F.col("_open")
     later = (F.col("_n") > F.col("_open")) & (F.col("_n") <= F.col("_end")) & ~F.col("_inside") & (F.col("_depth") == F.col("depth") + 1)
-    return joined.where(first | later).select("_file", "_n", "_text", F.when(first, F.col("at") + 1).otherwise(0).alias("skip"), (F.col("depth") + 1).alias("depth"))
+    return joined.where(first | later).select(*STRETCH, "_n", "_text", F.when(first, F.col("at") + 1).otherwise(0).alias("skip"), (F.col("depth") + 1).alias("depth"))
 
 
 def _step(index: DataFrame, now: DataFrame, segment: str) -> DataFrame:
@@ -136,9 +145,12 @@ def _step(index: DataFrame, now: DataFrame, segment: str) -> DataFrame:
     value = F.struct(F.col("_n"), _value_at(F.col("_text"), F.col("past")).alias("v"), F.col("depth"))
     by_name = named.groupBy("_file").agg(F.max_by(value, "_n").alias("found"))
     # Elements are counted, never numbered: the one wanted has as many before it as its index says.
-    place = F.row_number().over(W.partitionBy("_file").orderBy("_n")) - 1
     head = members.withColumn("past", F.col("skip")).where(F.lit(whole and wanted >= 0))
-    head = head.withColumn("place", place).where((F.col("place") == wanted) & (F.regexp_replace("rest", r"[\s\]]", "") != ""))
+    here = F.row_number().over(W.partitionBy(*STRETCH).orderBy("_n")) - 1
+    many = head.groupBy(*STRETCH).agg(F.count(F.lit(1)).alias("_many"))
+    earlier = W.partitionBy(*FILE).orderBy("_block", "_stretch").rowsBetween(W.unboundedPreceding, -1)
+    many = many.select(*STRETCH, F.coalesce(F.sum("_many").over(earlier), F.lit(0)).alias("_before"))
+    head = head.withColumn("_here", here).join(many, STRETCH).where((F.col("_before") + F.col("_here") == wanted) & (F.regexp_replace("rest", r"[\s\]]", "") != ""))
     by_place = head.groupBy("_file").agg(F.first(value).alias("entry"))
     joined = now.select("_file", "kind", "status").join(by_name, "_file", "left").join(by_place, "_file", "left")
     hit = F.when(F.col("kind") == "{", F.col("found")).when(F.col("kind") == "[", F.col("entry"))
@@ -193,22 +205,22 @@ def array_rows(spark: SparkSession, path: str | list[str], json_path: str | None
 
     # An element's pieces are those since the last separating comma; a single object is all of its pieces.
     target = now.where("status = 'ok'").select("_file", F.col("_n").alias("_open"), "_end", "at", "depth", "single")
-    rows = index.join(target, "_file").where("_n between _open and _end")
+    rows = _beside(index, target).where("_n between _open and _end")
     comma = ~F.col("single") & (F.col("_n") < F.col("_end")) & ~F.col("_ends_inside") & (F.col("_after") == F.col("depth") + 1)
     from_ = F.when(F.col("_n") == F.col("_open"), F.col("at") + F.when(F.col("single"), 0).otherwise(1)).otherwise(0)
-    rows = rows.select(*SPLIT, "_n", "_end", "depth", "_after", "single", F.expr("_text").alias("_text"), from_.cast("int").alias("_from"), comma.cast("long").alias("_comma"))
+    rows = rows.select(*STRETCH, "_n", "_end", "depth", "_after", "single", F.expr("_text").alias("_text"), from_.cast("int").alias("_from"), comma.cast("long").alias("_comma"))
     # The last piece ends before the bracket that closes the array: of its closing brackets those of deeper levels stay.
     closers = F.regexp_extract("_text", r"([\]}\s]*+)$", 1)
     deeper = F.length(F.regexp_replace(closers, r"\s", "")) - (F.col("depth") - F.col("_after")) - F.when(F.col("single"), 0).otherwise(1)
     kept = F.concat(F.expr("substring(_text, _from + 1, length(_text) - _from - length(_tail))"), F.substring(F.regexp_replace("_tail", r"\s", ""), F.lit(1), deeper.cast("int")))
     text = F.when(F.col("_n") == F.col("_end"), kept).otherwise(F.expr("substring(_text, _from + 1)"))
     rows = rows.withColumn("_tail", closers).withColumn("_part", text)
-    w = W.partitionBy(*SPLIT).orderBy("_n")
-    rows = stage(rows.select(*SPLIT, "_n", "_part", "_comma", F.coalesce(F.sum("_comma").over(w.rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("_seen")), "parts")
-    earlier = W.partitionBy(*FILE).orderBy("_block").rowsBetween(W.unboundedPreceding, -1)
-    counts = rows.groupBy(*SPLIT).agg(F.sum("_comma").alias("_commas"))
-    counts = counts.select(*SPLIT, F.coalesce(F.sum("_commas").over(earlier), F.lit(0)).alias("_offset"))
-    placed = rows.join(counts, SPLIT).withColumn("_pos", F.col("_offset") + F.col("_seen"))
+    w = W.partitionBy(*STRETCH).orderBy("_n")
+    rows = stage(rows.select(*STRETCH, "_n", "_part", "_comma", F.coalesce(F.sum("_comma").over(w.rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("_seen")), "parts")
+    earlier = W.partitionBy(*FILE).orderBy("_block", "_stretch").rowsBetween(W.unboundedPreceding, -1)
+    counts = rows.groupBy(*STRETCH).agg(F.sum("_comma").alias("_commas"))
+    counts = counts.select(*STRETCH, F.coalesce(F.sum("_commas").over(earlier), F.lit(0)).alias("_offset"))
+    placed = rows.join(counts, STRETCH).withColumn("_pos", F.col("_offset") + F.col("_seen"))
     whole = placed.groupBy("_file", "_pos").agg(F.array_sort(F.collect_list(F.struct("_n", "_part"))).alias("_parts"))
     elements = whole.select("_file", "_pos", F.regexp_replace(F.array_join("_parts._part", ","), r"^\s+|\s+$", "").alias("_t"))
     elements = stage(elements.withColumn("_v", F.try_parse_json("_t")), "elements")
@@ -224,7 +236,7 @@ def array_rows(spark: SparkSession, path: str | list[str], json_path: str | None
         .otherwise(F.lit("ok"))
     )
     state = stage(state.select("_file", final.alias("status")), "state")
-    good = elements.join(state.where("status = 'ok'").select("_file"), "_file", "left_semi")
+    good = elements.join(F.broadcast(state.where("status = 'ok'").select("_file")), "_file", "left_semi")
     return good.select("_file", "_pos", "_t", "_v"), state.where("status <> 'ok'")
 
 

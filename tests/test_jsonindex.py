@@ -7,6 +7,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from gridpress.sources import jsonindex as X
 from gridpress.sources import jsonrows as J
 from gridpress.sources.jsonindex import array_rows
 
@@ -116,3 +117,34 @@ def test_names_with_commas_are_refused_in_paths(spark, tmp_path):
     (tmp_path / "a.json").write_text("{}")
     with pytest.raises(ValueError):
         array_rows(spark, str(tmp_path), "a,b")
+
+
+@pytest.mark.parametrize("path", [None, "data.list", "0.rows", "7"])
+def test_short_stretches_equal_whole_payloads(spark, small_splits, tmp_path, monkeypatch, path):
+    monkeypatch.setattr(X, "STRETCH_BITS", 2)
+    rng = random.Random(str(path))
+    texts = []
+    for _ in range(6):
+        rows = [value(rng, 3) for _ in range(rng.randrange(1, 40))]
+        whole = {None: rows, "data.list": {"data": {"list": rows}}, "0.rows": [{"a": [1, {}], "rows": rows}], "7": [value(rng, 2) for _ in range(7)] + [rows, 1]}
+        texts.append(json.dumps(whole[path]))
+    got, refused = check(spark, tmp_path, texts, path)
+    assert not refused
+    for i, text in enumerate(texts):
+        assert got[i] == plain(text, path), i
+
+
+def test_no_task_takes_a_whole_file(spark, tmp_path):
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        (tmp_path / "a.json").write_text(json.dumps(["x"] * 50))
+        index = X.structural_index(spark, str(tmp_path))
+        ends = X._ends(index, X._roots(index).drop("kind", "status"))
+        members = X._members(index, X._roots(index).drop("kind", "status"))
+        rows, _ = array_rows(spark, str(tmp_path))
+        for frame in (ends, members, rows):
+            assert "BroadcastHashJoin [_file#" in frame._jdf.queryExecution().executedPlan().toString()
+        assert ends.count() == 1 and rows.count() == 50
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
