@@ -24,7 +24,7 @@ from gridpress.session import stage
 from gridpress.sources.rowids import group_offsets
 
 #: Levels of nested objects opened before asking whether any are left.
-LEVELS = 8
+LEVELS = 16
 
 _TEXTS = "array<string>"
 _MEMBERS = "map<string,string>"

@@ -18,7 +18,7 @@ from gridpress.sources import jsonrows as J
 from gridpress.sources.delimited import read_delimited
 from gridpress.sources.jsonindex import array_rows
 from gridpress.sources.landing import dispatch, size_guard
-from workloads.base import Registry, Tables
+from workloads.base import Registry, Tables, even
 from workloads.catalog import CTE, columns, datasets
 
 R = Registry()
@@ -66,12 +66,17 @@ RECORD = """named_struct('id', o_orderkey, 'cliente', named_struct('clave', o_cu
   'tags', array(o_orderstatus, o_orderpriority), 'total', o_totalprice)"""
 
 
+def orders(t: Tables) -> DataFrame:
+    """What payloads are made of, dealt over all tasks: the file may be a single row group."""
+    return even(t.orders.select("o_orderkey", "o_custkey", "o_orderstatus", "o_orderpriority", "o_totalprice"), "o_orderkey")
+
+
 def payloads(t: Tables) -> DataFrame:
     """One payload per order: an object, an array of two, or an object around an array."""
     # An object with an array member would be a wrapper, so this one has none.
     single = RECORD.replace("'tags', array(o_orderstatus, o_orderpriority), ", "").replace("\n  ", " ")
     pair = f"'[', to_json({RECORD}), ',{{\"id\":', o_orderkey + 1, ',\"total\":null}}]'"
-    return t.orders.selectExpr(
+    return orders(t).selectExpr(
         "o_orderkey AS payload_id",
         f"""CASE o_orderstatus WHEN 'O' THEN to_json({single}) WHEN 'F' THEN concat(' ', {pair})
         ELSE concat('{{"nota":"[x","items":', {pair}, '}}') END AS payload""",
@@ -112,7 +117,7 @@ def json_payload_status(t: Tables) -> DataFrame:
 
 
 def path_payloads(t: Tables) -> DataFrame:
-    return t.orders.selectExpr(
+    return orders(t).selectExpr(
         "o_orderkey AS payload_id",
         f"""CASE o_orderpriority WHEN '1-URGENT' THEN concat('{{"data":[{{"rows":[', to_json({RECORD}), ',7]}}]}}')
         WHEN '2-HIGH' THEN '{{"data":[]}}' WHEN '3-MEDIUM' THEN '{{"data":[{{"rows":{{"a":1}}}}]}}'
@@ -174,7 +179,7 @@ DEEP = 12
 @R.add(f"""SELECT o_orderkey AS payload_id, 'id=' || CAST(o_orderkey AS VARCHAR) || '&a{"_b" * DEEP}=' || CAST(o_custkey AS VARCHAR) || '&t=' || o_orderstatus AS cells FROM orders""")
 def json_deep_rows(t: Tables) -> DataFrame:
     opening, closing = '{"b":' * DEEP, "}" * DEEP
-    deep = t.orders.selectExpr(
+    deep = orders(t).selectExpr(
         "o_orderkey AS payload_id",
         f"""concat('{{"id":', o_orderkey, ',"a":{opening}', o_custkey, '{closing},"t":"', o_orderstatus, '"}}') AS payload""",
     )
