@@ -119,7 +119,7 @@ class Store:
         return table.where((F.col("source_id") == source_id) & (F.col("version") == version)).take(1)
 
     def next_version(self, source_id: str) -> int:
-        """One above all versions listed or claimed: a writer that broke off after its claim leaves a gap."""
+        """One above all versions listed or claimed: a writer killed after its claim leaves a gap."""
         newest = self.table("datasets").where(F.col("source_id") == source_id).agg(F.max("version")).first()[0]
         folder = self._path(self._claims(source_id))
         files = folder.getFileSystem(self.spark._jsc.hadoopConfiguration())
@@ -142,6 +142,11 @@ class Store:
                 raise
             raise VersionConflict(f"version {version} of {source_id} exists", source_id=source_id) from None
 
+    def _release(self, source_id: str, version: int) -> None:
+        """Give back a version that this writer claimed and could not list."""
+        path = self._path(f"{self._claims(source_id)}/{version}")
+        path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, False)
+
     def write_version(
         self,
         source_id: str,
@@ -200,7 +205,13 @@ class Store:
         )
         self._free(source_id, version)
         self._claim(source_id, version)
-        self.append("datasets", (dataset_id, source_id, version, name, row_count, len(table.columns), warnings_count, _now(), attempt))
+        listed = False
+        try:
+            self.append("datasets", (dataset_id, source_id, version, name, row_count, len(table.columns), warnings_count, _now(), attempt))
+            listed = True
+        finally:
+            if not listed:
+                self._release(source_id, version)
         return Version(dataset_id, source_id, version, row_count, len(table.columns))
 
     def _free(self, source_id: str, version: int) -> None:
