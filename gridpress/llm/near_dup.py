@@ -88,6 +88,7 @@ def _node(shingles: np.ndarray) -> int:
     return int.from_bytes(hashlib.blake2b(shingles.tobytes(), digest_size=8).digest(), "little", signed=True)
 
 
+@words.giving_back
 def _sketch(batches: Iterator[pa.RecordBatch], width: int, values: int) -> Iterator[pa.RecordBatch]:
     a, b = _coefficients(values)
     for batch in batches:
@@ -171,6 +172,7 @@ def _fixed(column: pa.ChunkedArray, rows: int, width: int) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), np.uint32).reshape(rows, width)
 
 
+@words.giving_back
 def _neighbours(batches: Iterator[pa.RecordBatch], values: int, floor: float, ratio: float) -> Iterator[pa.RecordBatch]:
     """Spanning forest of each region's similar classes, nearest in signature order first."""
     for table in _runs(batches, ["region", "part"]):
@@ -220,6 +222,7 @@ def _slot(shingles: np.ndarray) -> np.ndarray:
     return (shingles & np.uint64(COUNTERS - 1)).astype(np.int64)
 
 
+@words.giving_back
 def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """A task's occurrences per counter, in 64 parts."""
     total = np.zeros(COUNTERS, np.int64)
@@ -235,6 +238,7 @@ def _added(table: pa.Table) -> pa.Table:
     return pa.table({"part": table["part"][:1], "counts": pa.array([total.tobytes()], pa.binary())})
 
 
+@words.giving_back
 def _rarest(batches: Iterator[pa.RecordBatch], counts, percent: int) -> Iterator[pa.RecordBatch]:
     """The rarest shingles of each set: one more than may be missing from a set that is linked with it."""
     of = np.frombuffer(counts.value, np.int64)
@@ -249,6 +253,7 @@ def _rarest(batches: Iterator[pa.RecordBatch], counts, percent: int) -> Iterator
         yield pa.RecordBatch.from_arrays([pa.array(flat), batch["node"].take(at), batch["label"].take(at)], ["shingle", "node", "label"])
 
 
+@words.giving_back
 def _wanted_sets(batches: Iterator[pa.RecordBatch], width: int, wanted) -> Iterator[pa.RecordBatch]:
     bits = np.frombuffer(wanted.value, np.uint8)
     seen: set[int] = set()
@@ -266,6 +271,7 @@ def _wanted_sets(batches: Iterator[pa.RecordBatch], width: int, wanted) -> Itera
             yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array(sets, pa.binary())], ["node", "shingles"])
 
 
+@words.giving_back
 def _links(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
     """Spanning forest of each candidate group's confirmed links."""
     for table in _runs(batches, ["label", "one", "two"]):
